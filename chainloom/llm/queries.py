@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chainloom.llm import consolidate, topn
+from chainloom.llm import consolidate, leaks, mixing, stuffing, topn
 from chainloom.queries import sql
 from chainloom.sources.tables import table
 
@@ -17,6 +17,30 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return consolidate.linked_addresses(table(spark, d, "union_find"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Which items leaked: into how many documents, and the longest run of words."""
+    items = table(spark, d, "eval_item")
+    found = leaks.leaks(table(spark, d, "documents"), items, least=1.0).where(F.col("run_words") >= leaks.WINDOW)
+    found = found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.max("run_words").alias("longest_run"))
+    return found.join(items.select("item_id", "benchmark", "split").dropDuplicates(["item_id"]), "item_id").select("item_id", "benchmark", "split", "documents", "longest_run")
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_target"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(p9_mix(spark, d), table(spark, d, "mix_target"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.stuffed_pages(table(spark, d, "documents"))
+
+
 SQL = {
     "p2_found": f"""WITH r AS (SELECT CAST(date AS VARCHAR) AS day, {sql.address("address")} AS address, max(balance) AS b FROM daily_richlist
   WHERE date IS NOT NULL AND balance IS NOT NULL AND NOT isnan(balance) AND NOT isinf(balance) GROUP BY ALL)
@@ -27,4 +51,4 @@ e AS (SELECT a, b FROM p WHERE a <> b UNION SELECT b, a FROM p WHERE a <> b),
 r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT a AS address, least(a, min(b)) AS group_id FROM r GROUP BY a""",
 }
-QUERIES = {f.__name__: f for f in (p2_found, p3_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p8_found, p8_items, p9_mix, p9_shares, p10_found)}
