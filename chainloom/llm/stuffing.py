@@ -20,8 +20,6 @@ FUNCTION_WORDS = {
     "es": frozenset("a al antes aunque cada como con cuando cual de del desde donde durante el ella en entre era es esta este ha hasta hay la las le lo los me mi mientras muy más nada ni no nos nuestro o para pero por porque que quien se ser si sin sobre son su sus también tras tu un una uno y ya yo".split()),
     "fr": frozenset("a après au aucun aux avant avec ce ces cette chaque comme d dans de depuis des deux dont du elle en encore entre est et être il ils je l la le les leur lui mais me même mon n ne nos notre nous on ont ou où par pas pendant plus pour qu quand que qui s sa sans se ses si son sont sous sur tout très un une vous y à".split()),
 }
-#: The languages a word is a function word of.
-SPOKEN = {w: tuple(k for k, v in FUNCTION_WORDS.items() if w in v) for w in frozenset().union(*FUNCTION_WORDS.values())}
 #: Tokens on either side that make up a token's surroundings, and the fewest words of a line judged by itself.
 REACH, OWN = 12, 8
 #: Candidate bounds of the function words per token from which surroundings are sentences; the middle one is usual. The
@@ -42,108 +40,148 @@ TOKEN = re.compile(
 LINK, MARKUP, HASH_TAG, DOMAIN, WORD, NUMBER, TAG = range(1, 8)
 #: The words before a colon or equals sign that make what follows a tag.
 TAG_WORDS = frozenset("category categories keyword keywords rel tag tags".split())
-#: Lines of logs, tables of hashes, code and data records.
-RECORD = re.compile(r"(?m)^.*(?:[0-9a-f]{32}|\d\d:\d\d:\d\d\b.*\w=\d|\{.*[:{].*\}).*$")
+#: What marks a line as one of a log, a table of hashes, code or data records.
+RECORD = re.compile(r"[0-9a-f]{32}|\d\d:\d\d:\d\d\b[^\n]*\w=\d|\{[^\n]*[:{][^\n]*\}")
 LINE = re.compile(r"\n|<br ?/?>")
 FEATURES = "doc_id bigint, lang string, shares array<double>"
+#: Tokens and documents that are looked at together; bounds a worker's memory.
+TOKENS, DOCUMENTS = 100_000, 1_000
 
 
-def _language(words: list[str], counts: np.ndarray, stated: str | None) -> str:
-    """The stated language if the words fit it, else the one they fit best, else the stated one."""
-    hits = dict.fromkeys(FUNCTION_WORDS, 0)
-    for w, n in zip(words, counts.tolist()):
-        for k in SPOKEN.get(w, ()):
-            hits[k] += n
-    best, stated = max(hits, key=hits.get), (stated or "").strip().lower()
-    if hits[best] > max(1.5 * hits.get(stated, 0), 0.05 * counts.sum()):
-        return best
-    return stated if stated in hits else ""
+class Page:
+    """The tokens, line ends and record lines of one text."""
+
+    def __init__(self, text: str | None):
+        text = text or ""
+        if not text.isascii():
+            text = INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
+        self.text = text = text.lower()
+        self.found = [m for m in TOKEN.finditer(text) if m.lastindex != MARKUP]
+        self.lines = [m.end() for m in LINE.finditer(text)]
+        self.records, end = [], 0
+        for m in RECORD.finditer(text):
+            if m.start() >= end:
+                end = text.find("\n", m.end())
+                end = len(text) if end < 0 else end
+                self.records.append((text.rfind("\n", 0, m.start()) + 1, end))
 
 
-def stuffed_shares(text: str | None, stated: str | None) -> tuple[str, list[float]]:
-    """(language, shares) of a text: the share of its characters that is stuffing under each of BOUNDS.
+def _running(v: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(v)])
+
+
+def stuffed_shares(pages: list[Page], stated: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """(languages, shares) of some texts: the share of a text's characters that is stuffing under each of BOUNDS.
 
     Surroundings are sentences if they hold enough function words of any of the languages. A function word counts the less
     the more often it occurs between the same two words nearby, so that those in repeated keywords ("bot de trading")
     weigh little, and surroundings of few different words or function words count less altogether. Lines of at least OWN
     words are judged by themselves, shorter ones together with the short lines around them, and a line of ordinary length
-    is wholly one or the other.
+    is wholly one or the other. Texts are looked at together only to have long arrays; none has an effect on another.
     """
-    nothing = [0.0] * len(BOUNDS)
-    if not text or not text.strip():
-        return "", nothing
-    if not text.isascii():
-        text = INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
-    text = text.lower()
-    found = [m for m in TOKEN.finditer(text) if m.lastindex != MARKUP]
-    if not found:
-        return "", nothing
-    n, start = len(found), np.array([m.start() for m in found])
-    length = np.diff(np.concatenate([[0], start[1:], [len(text)]]))
+    docs = len(pages)
+    base = np.cumsum([0, *(len(p.text) for p in pages)])
+    counts = np.array([len(p.found) for p in pages])
+    n, doc = counts.sum(), np.repeat(np.arange(docs), counts)
+    shares = np.zeros((docs, len(BOUNDS)))
+    if not n:
+        return [""] * docs, shares
+    found = [m for p in pages for m in p.found]
+    start = np.array([m.start() for m in found]) + base[doc]
+    opens, ends = np.flatnonzero(np.diff(doc, prepend=-1)), _running(counts)[1:][doc]
+    upto = np.append(start[1:], 0)
+    closes = np.append(opens[1:], n) - 1
+    upto[closes] = base[doc[closes] + 1]
+    length = upto - start
+    length[opens] += start[opens] - base[doc[opens]]
+
     coded = pa.array([m[0] for m in found], pa.string()).dictionary_encode()
     code, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
     kinds = np.array([m.lastindex or WORD for m in found])
     kinds[np.array([w[0].isdigit() for w in words])[code] & (kinds == WORD)] = NUMBER
     for i in np.flatnonzero(np.array([w in TAG_WORDS for w in words])[code]).tolist():
-        if text[found[i].end() : found[i].end() + 1] in (":", "="):
+        if found[i].string[found[i].end() : found[i].end() + 1] in (":", "="):
             kinds[i] = TAG
-    is_word = kinds == WORD
-    marks = np.flatnonzero(np.array([w in SPOKEN for w in words])[code] & is_word)
-
-    padded, base = np.concatenate([[len(words)], code, [len(words)]]), len(words) + 1
-    between = ((marks // NEAR * base + padded[marks]) * base + padded[marks + 1]) * base + padded[marks + 2]
+    is_word, size = kinds == WORD, len(words)
+    spoken = np.array([[w in v for v in FUNCTION_WORDS.values()] for w in words])
+    marks = np.flatnonzero(spoken.any(axis=1)[code] & is_word)
+
+    first = opens[np.cumsum(np.diff(doc, prepend=-1) != 0) - 1]
+    at = np.arange(n)
+    near = np.cumsum(np.diff(doc, prepend=-1).astype(bool) | ((at - first) % NEAR == 0))
+    before, behind = np.append(size, code[:-1]), np.append(code[1:], size)
+    before[opens], behind[closes] = size, size
+    between = ((near * (size + 1) + before) * (size + 1) + code) * (size + 1) + behind
     weight = np.zeros(n)
-    if len(marks):
-        _, which, often = np.unique(between, return_inverse=True, return_counts=True)
-        weight[marks] = 1 / often[which]
-    order, new = np.argsort(code, kind="stable"), is_word.copy()
-    new[order[1:]] &= (np.diff(code[order]) != 0) | (np.diff(order) > 2 * REACH)
-
-    cuts = np.unique(np.concatenate([[0], np.searchsorted(start, [m.end() for m in LINE.finditer(text)])]))
-    cuts = cuts[cuts < n].astype(np.int64)
-    size = np.diff(np.concatenate([cuts, [n]]))
+    _, which, often = np.unique(between[marks], return_inverse=True, return_counts=True)
+    weight[marks] = 1 / often[which]
+    order, new = np.argsort(doc * size + code, kind="stable"), is_word.copy()
+    new[order[1:]] &= (np.diff((doc * size + code)[order]) != 0) | (np.diff(order) > 2 * REACH)
+
+    cuts = np.searchsorted(start, np.concatenate([np.array(p.lines, np.int64) + b for p, b in zip(pages, base)]))
+    cuts = np.unique(np.concatenate([opens, cuts[cuts < n]]))
+    sizes = np.diff(np.append(cuts, n))
     own = np.add.reduceat(is_word.astype(np.int64), cuts) >= OWN
-    line = np.repeat(np.arange(len(cuts)), size)
+    line = np.repeat(np.arange(len(cuts)), sizes)
     fresh = np.ones(len(cuts), bool)
-    fresh[1:] = own[1:] | own[:-1]
-    first = np.repeat(np.maximum.accumulate(np.where(fresh, cuts, 0)), size)
-    ends = np.concatenate([cuts[1:], [n]])
-    after = np.where(np.concatenate([fresh[1:], [True]]), ends, n + 1)
-    last = np.repeat(np.minimum.accumulate(after[::-1])[::-1], size)
-    at, total = np.arange(n), np.concatenate([[0], np.cumsum(weight)])
+    fresh[1:] = own[1:] | own[:-1] | (np.diff(doc[cuts]) != 0)
+    first = np.repeat(np.maximum.accumulate(np.where(fresh, cuts, 0)), sizes)
+    after = np.where(np.append(fresh[1:], True), np.append(cuts[1:], n), n + 1)
+    last = np.repeat(np.minimum.accumulate(after[::-1])[::-1], sizes)
     lo, hi = np.maximum(first, at - REACH), np.minimum(last, at + REACH + 1)
-    around = (total[hi] - total[lo]) / (hi - lo)
-    said, varied = np.concatenate([[0], np.cumsum(is_word)]), np.concatenate([[0], np.cumsum(new)])
-    richness = (varied[hi] - varied[lo]) / np.maximum(1, said[hi] - said[lo])
-    kinds_said = np.concatenate([[0], np.cumsum(new & (weight > 0))])
-    around *= np.clip((richness - POOR) / (RICH - POOR), 0, 1) * np.minimum(1, (kinds_said[hi] - kinds_said[lo]) / (KINDS * (hi - lo)))
-
-    record = np.zeros(n, bool)
-    for m in RECORD.finditer(text):
-        record[np.searchsorted(start, m.start()) : np.searchsorted(start, m.end())] = True
-    odd = (around[:, None] < BOUNDS) & ~record[:, None]
-    chars = np.add.reduceat(length, cuts)
-    mostly = 2 * np.add.reduceat(odd * length[:, None], cuts, axis=0) > chars[:, None]
-    odd = np.where((size <= 2 * REACH)[line][:, None], mostly[line], odd) & ~record[:, None]
-    shares = (odd * length[:, None]).sum(axis=0) / len(text) * _repeats(odd[:, USUAL], kinds, code)
-    return _language(words, np.bincount(code[is_word], minlength=len(words)), stated), shares.tolist()
-
-
-def _repeats(odd: np.ndarray, kinds: np.ndarray, code: np.ndarray) -> bool:
-    """Whether what has no sentences is links, tags or repetition rather than headings, signatures or other matter."""
-    kinds, code = kinds[odd], code[odd]
-    counts = np.bincount(code[kinds == WORD])
-    counts = np.sort(counts[counts > 0])[::-1]
-    n, top = counts.sum(), counts[:10][counts[:10] > 1].sum()
-    marks = ((kinds != WORD) & (kinds != NUMBER)).sum()
-    return len(code) > 0 and bool(marks >= 0.25 * len(code) or n >= 8 and (len(counts) <= 0.6 * n or top >= 0.4 * n))
+    within = lambda v: (t := _running(v))[hi] - t[lo]
+    around = within(weight) / (hi - lo) * np.minimum(1, within(new & (weight > 0)) / (KINDS * (hi - lo)))
+    around *= np.clip((within(new) / np.maximum(1, within(is_word)) - POOR) / (RICH - POOR), 0, 1)
+
+    record = np.zeros(n + 1, np.int64)
+    spans = [(x + b, y + b) for p, b in zip(pages, base) for x, y in p.records]
+    if spans:
+        np.add.at(record, np.searchsorted(start, [x for x, _ in spans]), 1)
+        np.add.at(record, np.searchsorted(start, [y for _, y in spans]), -1)
+    record = np.cumsum(record[:n]) > 0
+    odd = (around[:, None] < BOUNDS - 1e-9) & ~record[:, None]
+    mostly = 2 * np.add.reduceat(odd * length[:, None], cuts, axis=0) > np.add.reduceat(length, cuts)[:, None]
+    odd = np.where((sizes <= 2 * REACH)[line][:, None], mostly[line], odd) & ~record[:, None]
+    shares[doc[opens]] = np.add.reduceat(odd * length[:, None], opens, axis=0) / np.diff(base)[doc[opens]][:, None]
+    shares *= _repeats(odd[:, USUAL], kinds, doc, code, docs, size)[:, None]
+    hits = np.stack([np.bincount(doc[is_word], spoken[code[is_word], k], minlength=docs) for k in range(spoken.shape[1])], axis=1)
+    return [_language(h, w, s) for h, w, s in zip(hits.tolist(), np.bincount(doc[is_word], minlength=docs).tolist(), stated)], shares
+
+
+def _language(hits: list[float], words: int, stated: str | None) -> str:
+    """The stated language if the words fit it, else the one they fit best, else the stated one."""
+    by, stated = dict(zip(FUNCTION_WORDS, hits)), (stated or "").strip().lower()
+    best = max(by, key=by.get)
+    if by[best] > max(1.5 * by.get(stated, 0), 0.05 * words):
+        return best
+    return stated if stated in by else ""
+
+
+def _repeats(odd: np.ndarray, kinds: np.ndarray, doc: np.ndarray, code: np.ndarray, docs: int, size: int) -> np.ndarray:
+    """Of each text, whether what has no sentences is links, tags or repetition rather than headings, signatures or other
+    matter."""
+    total = np.bincount(doc[odd], minlength=docs)
+    marks = np.bincount(doc[odd & (kinds != WORD) & (kinds != NUMBER)], minlength=docs)
+    pairs, often = np.unique((doc * size + code)[odd & (kinds == WORD)], return_counts=True)
+    owner = pairs // size
+    n, different = np.bincount(owner, often, minlength=docs), np.bincount(owner, minlength=docs)
+    order = np.lexsort((-often, owner))
+    rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
+    best = order[(rank < 10) & (often[order] > 1)]
+    top = np.bincount(owner[best], often[best], minlength=docs)
+    return (total > 0) & ((marks >= 0.25 * total) | (n >= 8) & ((different <= 0.6 * n) | (top >= 0.4 * n)))
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [stuffed_shares(t.as_py(), s.as_py()) for t, s in zip(b.column(1), b.column(2))]
-        lang, shares = zip(*rows) if rows else ((), ())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(shares, pa.list_(pa.float64()))], ["doc_id", "lang", "shares"])
+        texts, stated, at = b.column(1), b.column(2).to_pylist(), 0
+        while at < b.num_rows:
+            pages, tokens, began = [], 0, at
+            while at < b.num_rows and tokens < TOKENS and len(pages) < DOCUMENTS:
+                pages.append(Page(texts[at].as_py()))
+                tokens, at = tokens + len(pages[-1].found), at + 1
+            lang, shares = stuffed_shares(pages, stated[began:at])
+            yield pa.RecordBatch.from_arrays([b.column(0)[began:at], pa.array(lang, pa.string()), pa.array(shares.tolist(), pa.list_(pa.float64()))], ["doc_id", "lang", "shares"])
 
 
 def stuffing(documents: DataFrame) -> DataFrame:
