@@ -21,20 +21,20 @@ class Chain:
     txi: DataFrame
 
 
-def block_times(blocks: DataFrame) -> DataFrame:
+def block_times(blocks: DataFrame, after_ms: int = 0) -> DataFrame:
     """(height, time_ms) of blocks(height, time in seconds), one row a height: moved up to be strictly increasing.
 
     t(i) is time * 1000 if that is later than t(i - 1), else t(i - 1) + 1; in closed form the running maximum of
-    time * 1000 - i, plus i, and at least i + 1.
+    time * 1000 - i, plus i, and at least after_ms + i + 1, where after_ms is the time of the block before the first one.
     """
     one = blocks.where("height is not null and time is not null").groupBy("height").agg(F.min("time").alias("time"))
     t = running_max(one, "height", F.col("time") * 1000)
-    return t.select("height", (F.greatest(F.col("top"), F.lit(1)) + F.col("ordinal")).alias("time_ms"))
+    return t.select("height", (F.greatest(F.col("top"), F.lit(after_ms + 1)) + F.col("ordinal")).alias("time_ms"))
 
 
-def flatten(blocks: DataFrame) -> Chain:
+def flatten(blocks: DataFrame, after_ms: int = 0) -> Chain:
     """Working tables of nested blocks. The first transaction of a block is its coinbase and has no inputs."""
-    times = block_times(blocks)
+    times = block_times(blocks, after_ms)
     t = blocks.select("height", F.posexplode("tx").alias("tx_n", "t"))
     tx = t.select(F.col("t.txid").alias("txid"), "height", "tx_n", (F.col("tx_n") == 0).alias("is_coinbase"), F.col("t.size").alias("size"), F.col("t.version").alias("version"), F.col("t.locktime").alias("locktime"), F.size("t.vin").alias("input_count"), F.size("t.vout").alias("output_count"))
     tx = tx.join(times.select("height", F.timestamp_millis("time_ms").alias("ts")), "height")
