@@ -74,8 +74,8 @@ def stuffed_shares(pages: list[Page], stated: list[str | None]) -> tuple[list[st
     """(languages, shares) of some texts: the share of a text's characters that is stuffing under each of BOUNDS.
 
     Surroundings are sentences if they hold enough function words of any of the languages. A function word counts the less
-    the more often it occurs between the same two words nearby, so that those in repeated keywords ("bot de trading")
-    weigh little, and surroundings of few different words or function words count less altogether. Lines of at least OWN
+    the more often it occurs nearby between the same two words in otherwise changing company, so that those in repeated
+    keywords ("bot de trading") weigh little and those of repeated sentences don't, and surroundings of few different words or function words count less altogether. Lines of at least OWN
     words are judged by themselves, shorter ones together with the short lines around them, and a line of ordinary length
     is wholly one or the other. Texts are looked at together only to have long arrays; none has an effect on another.
     """
@@ -109,12 +109,12 @@ def stuffed_shares(pages: list[Page], stated: list[str | None]) -> tuple[list[st
     first = opens[np.cumsum(np.diff(doc, prepend=-1) != 0) - 1]
     at = np.arange(n)
     near = np.cumsum(np.diff(doc, prepend=-1).astype(bool) | ((at - first) % NEAR == 0))
-    before, behind = np.append(size, code[:-1]), np.append(code[1:], size)
-    before[opens], behind[closes] = size, size
-    between = ((near * (size + 1) + before) * (size + 1) + code) * (size + 1) + behind
+    # Each function word with its neighbours, and with three words on either side; places outside the text are -1.
+    around_marks = marks[:, None] + np.arange(-3, 4)
+    inside = (around_marks >= first[marks][:, None]) & (around_marks < ends[marks][:, None])
+    seven = np.where(inside, code[np.clip(around_marks, 0, n - 1)], -1)
     weight = np.zeros(n)
-    _, which, often = np.unique(between[marks], return_inverse=True, return_counts=True)
-    weight[marks] = 1 / often[which]
+    weight[marks] = _repeated(near[marks], seven) / _repeated(near[marks], seven[:, 2:5])
     order, new = np.argsort(doc * size + code, kind="stable"), is_word.copy()
     new[order[1:]] &= (np.diff((doc * size + code)[order]) != 0) | (np.diff(order) > 2 * REACH)
 
@@ -148,6 +148,15 @@ def stuffed_shares(pages: list[Page], stated: list[str | None]) -> tuple[list[st
     return [_language(h, w, s) for h, w, s in zip(hits.tolist(), np.bincount(doc[is_word], minlength=docs).tolist(), stated)], shares
 
 
+def _repeated(near: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """How often each row occurs within its stretch of text."""
+    key = near.astype(np.uint64)
+    for c in rows.T:
+        key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + c.astype(np.uint64)
+    _, which, often = np.unique(key, return_inverse=True, return_counts=True)
+    return often[which]
+
+
 def _language(hits: list[float], words: int, stated: str | None) -> str:
     """The stated language if the words fit it, else the one they fit best, else the stated one."""
     by, stated = dict(zip(FUNCTION_WORDS, hits)), (stated or "").strip().lower()
