@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from chainloom.functions.normalise import norm_hash
 from chainloom.plans.shared import Shared
 
 #: Semi-joins between two written rounds.
-LEVELS_A_ROUND = 4
+LEVELS_A_ROUND = 2
 
 
 def missing(refs: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
@@ -45,34 +47,43 @@ def cascade(refs: DataFrame, direct: DataFrame, parent: str, child: str) -> Data
     A record `child` with an orphaned reference is an orphan itself, and so are the references to it (`parent`), and so
     on, to a fixpoint: a frontier of new orphans is carried down by semi-joins until none is new. Each written round
     takes LEVELS_A_ROUND steps. Records that refer to themselves or to each other end in the fixpoint like all others.
+    Records are numbered first, so that the rounds move numbers; records that refer to nothing can't inherit and get none.
     """
-    shared = Shared(refs.sparkSession, "orphans")
-    edges = shared.table(refs.select(F.col(parent).alias("up"), F.col(child).alias("down")).where("up is not null and down is not null and up <> down").distinct())
-    seen = frontier = shared.table(direct.select(F.col(child).alias("id")).where("id is not null").distinct())
-    rounds = [seen]
+    spark = refs.sparkSession
+    shared = Shared(spark, "orphans")
+    names = shared.table(refs.select(F.col(child).alias("name")).where("name is not null").distinct().select(F.monotonically_increasing_id().alias("id"), "name"))
+    named = lambda c: names.select(F.col("id").alias(c), F.col("name").alias(f"{c}_name"))
+    pairs = refs.select(F.col(parent).alias("up_name"), F.col(child).alias("down_name")).where("up_name <> down_name").distinct()
+    edges = shared.table(pairs.join(named("up"), "up_name").join(named("down"), "down_name").select("up", "down"))
+    frontier = shared.table(direct.select(F.col(child).alias("name")).distinct().join(names, "name").select("id"))
+    seen = [frontier]
     while True:
-        step, found = frontier, None
+        steps = [frontier]
         for _ in range(LEVELS_A_ROUND):
-            step = edges.join(step, edges.up == step.id, "left_semi").select(F.col("down").alias("id")).distinct()
-            found = step if found is None else found.unionByName(step)
-        fresh = found.distinct()
-        for r in rounds:
-            fresh = fresh.join(r, "id", "left_anti")
-        frontier, counts = shared.write(fresh)
+            steps.append(edges.join(steps[-1], F.col("up") == F.col("id"), "left_semi").select(F.col("down").alias("id")).distinct())
+        fresh = reduce(DataFrame.unionByName, steps[1:]).distinct()
+        known = spark.read.schema("id bigint").parquet(*(shared.paths[id(t)] for t in seen))
+        frontier, counts = shared.write(fresh.join(known, "id", "left_anti"))
         if not counts["rows"]:
             break
-        rounds.append(frontier)
-        if len(rounds) > 4:
-            rounds = [shared.table(_union(rounds))]
-    tainted = _union(rounds)
-    return refs.join(tainted.select(F.col("id").alias(parent)), parent, "left_semi")
+        seen.append(frontier)
+    tainted = known.join(names, "id").select(F.col("name").alias(parent))
+    return refs.join(tainted, parent, "left_semi")
 
 
-def _union(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out
+def orphans(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
+    """(spending_txid, spending_index, txid, n, direct, inherited) of every input that is an orphan, each distinct reference
+    once: direct if its output is missing, inherited if it spends an output of a transaction with an orphaned input."""
+    shared = Shared(inputs.sparkSession, "orphans")
+    refs = input_references(inputs).distinct()
+    direct = shared.table(orphan_inputs(inputs, outputs).drop("level"))
+    tainted = cascade(refs, direct, "txid", "spending_txid")
+    key = ["spending_txid", "spending_index", "txid", "n"]
+    both = direct.join(tainted.select("txid").distinct().withColumn("inherited", F.lit(True)), "txid", "left")
+    both = both.select(*key, F.lit(True).alias("direct"), F.coalesce("inherited", F.lit(False)).alias("inherited"))
+    same = reduce(lambda x, y: x & y, (F.col(f"t.{k}").eqNullSafe(F.col(f"d.{k}")) for k in key))
+    only = tainted.alias("t").join(direct.alias("d"), same, "left_anti").select(*key, F.lit(False).alias("direct"), F.lit(True).alias("inherited"))
+    return both.unionByName(only)
 
 
 def periods(transactions: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -92,21 +103,19 @@ def report(inputs: DataFrame, outputs: DataFrame, transactions: DataFrame, block
     an input that spends an output of a transaction with an orphaned input.
     """
     refs = input_references(inputs).distinct()
-    direct = orphan_inputs(inputs, outputs)
-    tainted = cascade(refs, direct, "txid", "spending_txid")
+    gone = orphans(inputs, outputs)
     when = periods(transactions, blocks)
     one = lambda df, tbl, to, period, d, i: df.select(F.lit(tbl).alias("tbl"), F.lit(to).alias("refers_to"), period.alias("period"), d.cast("bigint").alias("direct"), i.cast("bigint").alias("inherited"))
     no, yes = F.lit(0), F.lit(1)
 
-    def split(all_rows: DataFrame, gone: DataFrame, also: DataFrame | None = None) -> DataFrame:
+    def split(all_rows: DataFrame, orphan: DataFrame) -> DataFrame:
+        """Each row with d, whether it is a direct orphan, and i, whether it only is one by inheritance."""
         keys = all_rows.columns
-        marked = all_rows.withColumn("d", no).withColumn("i", no).unionByName(gone.select(*keys).withColumn("d", yes).withColumn("i", no))
-        if also is not None:
-            marked = marked.unionByName(also.select(*keys).withColumn("d", no).withColumn("i", yes))
-        m = marked.groupBy(*keys).agg(F.max("d").alias("d"), F.max("i").alias("i"))
-        return m.withColumn("i", F.col("i") * (1 - F.col("d")))
+        flags = orphan.select(*keys, "d", "i") if "d" in orphan.columns else orphan.select(*keys, yes.alias("d"), no.alias("i"))
+        return all_rows.withColumn("d", no).withColumn("i", no).unionByName(flags).groupBy(*keys).agg(F.max("d").alias("d"), F.max("i").alias("i"))
 
-    spends = split(refs, direct, tainted).join(when.withColumnRenamed("txid", "spending_txid"), "spending_txid", "left")
+    gone = gone.withColumn("d", F.col("direct").cast("int")).withColumn("i", (~F.col("direct")).cast("int"))
+    spends = split(refs, gone).join(when.withColumnRenamed("txid", "spending_txid"), "spending_txid", "left")
     marks = outputs.select(norm_hash(F.col("spending_txid")).alias("spending_txid"), F.col("spending_index").cast("bigint").alias("spending_index"), norm_hash(F.col("txid")).alias("txid"), F.col("n").cast("bigint").alias("n")).where("spending_txid is not null").distinct()
     known = inputs.select(norm_hash(F.col("spending_txid")).alias("spending_txid"), F.col("spending_index").cast("bigint").alias("spending_index"))
     spent = split(marks, missing(marks, known, ["spending_txid", "spending_index"])).join(when, "txid", "left")

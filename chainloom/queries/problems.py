@@ -30,10 +30,10 @@ def p1_tree(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Depth and root are read off the path segments; cycles have none."""
+    """Depths are read off the path segments; cycles have none."""
     t = hierarchy.hierarchy(_links(spark, d))
     steps = F.aggregate("path", F.lit(-1).cast("bigint"), lambda n, s: n + s["last"] + 1)
-    t = t.withColumn("depth", F.coalesce(steps, F.col("depth"))).withColumn("root", F.coalesce(F.get("path", F.lit(0))["chain"], F.col("root")))
+    t = t.withColumn("depth", F.coalesce(steps, F.col("depth")))
     return t.where("depth > 12 or depth = -1").select(F.substring_index("node", ":", 1).alias("tbl"), _bare("node").alias("node"), _bare("root").alias("root"), "depth")
 
 
@@ -62,8 +62,8 @@ def p6_rolling(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    o = orphans.orphan_inputs(table(spark, d, "transaction_input"), table(spark, d, "transaction_output"))
-    return o.select("spending_txid", "spending_index").distinct()
+    o = orphans.orphans(table(spark, d, "transaction_input"), table(spark, d, "transaction_output"))
+    return o.where("direct").select("spending_txid", "spending_index").distinct()
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:

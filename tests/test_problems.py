@@ -177,6 +177,15 @@ def test_orphans_and_cascade(spark):
     assert orphans.orphan_inputs(i, o.limit(0)).count() == 7  # t1 once, t2, t3, t4, t6, t8 and the one without a txid
 
 
+def test_orphan_flags(spark):
+    ins = [("t1", 0, "gone", 0, None), ("t2", 0, "t1", 0, None), ("t2", 1, "t1", 7, None), ("t3", 0, "t2", 0, None), ("t4", 0, "ok", 0, None), ("T3 ", 0, "t2", 0, None)]
+    i = spark.createDataFrame([(*x, "a", "b") for x in ins], INPUT)
+    o = spark.createDataFrame([("t1", 0), ("t2", 0), ("ok", 0)], "txid string, n int")
+    got = sorted((x.spending_txid, x.spending_index, x.direct, x.inherited) for x in orphans.orphans(i, o).collect())
+    assert got == [("t1", 0, True, False), ("t2", 0, False, True), ("t2", 1, True, True), ("t3", 0, False, True)]
+    assert orphans.orphans(i.limit(0), o).count() == 0
+
+
 def test_cascade_runs_to_the_end_of_long_chains(spark):
     refs = spark.createDataFrame([(f"t{k + 1}", k, f"t{k}", 0) for k in range(30)], "spending_txid string, spending_index int, txid string, n int")
     direct = refs.where("txid = 't0'")
