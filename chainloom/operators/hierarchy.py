@@ -52,7 +52,7 @@ def _lift(shared: Shared, start: DataFrame, sizes: bool) -> DataFrame:
 
 
 def _cycles(shared: Shared, links: DataFrame, count: int) -> DataFrame:
-    """(node, smallest): of nodes whose paths never end, the smallest node of the cycle the path runs into."""
+    """(node, smallest), numbers: of nodes whose paths never end, the smallest node of the cycle the path runs into."""
     state = shared.table(links.select("node", F.col("up"), F.col("node").alias("low")))
     reach = 1
     while reach < count:
@@ -67,15 +67,19 @@ def _cycles(shared: Shared, links: DataFrame, count: int) -> DataFrame:
 def hierarchy(links: DataFrame) -> DataFrame:
     """One row per node of links(node, parent), node unique and not null:
 
-    node, parent (null unless it is a node), root, depth, descendants (their number), chain (its top node), pos (in the
+    node, parent (null unless it is a node), root, depth, descendants (their number), chain (its number), pos (in the
     chain), path array<struct<chain, last>> (from the root: each chain, and the position up to which it is on the
     path), first, last (the node's descendants are the nodes of the same root with first < their first <= last).
     A node whose path never reaches a root has depth -1, as root the smallest node of the cycle its path runs into, and
     null in all later columns. A node naming itself is a cycle of one. Empty input gives no rows.
+
+    Nodes are numbered in their order first, so that all rounds move numbers instead of names.
     """
     shared = Shared(links.sparkSession, "hierarchy")
-    known = links.select(F.col("node").alias("known"))
-    links = shared.table(links.join(known, F.col("parent") == F.col("known"), "left").select("node", F.col("known").alias("up")))
+    names = shared.table(links.select("node").orderBy("node").select(F.monotonically_increasing_id().alias("id"), F.col("node").alias("name")))
+    links = links.join(names, F.col("node") == F.col("name")).select("id", "parent")
+    up = names.select(F.col("id").alias("up"), F.col("name").alias("known"))
+    links = shared.table(links.where("parent is not null").join(up, F.col("parent") == F.col("known"), "left").select(F.col("id").alias("node"), "up").unionByName(links.where("parent is null").select(F.col("id").alias("node"), F.lit(None).cast("bigint").alias("up"))))
     depths = _lift(shared, links, sizes=True)
     lost, c = shared.write(depths.where("up is not null").select("node").join(links, "node"))
     cyclic = _cycles(shared, lost, c["rows"]) if c["rows"] else None
@@ -100,7 +104,7 @@ def hierarchy(links: DataFrame) -> DataFrame:
     light = light.withColumn("earlier", earlier).join(parts, ["parent", "part"]).select("node", "parent", (F.col("heavy_size") + 1 + F.col("earlier") + F.col("ahead")).alias("shift"))
     on = tree.select(F.col("node").alias("parent"), F.col("chain").alias("on_chain"), F.col("pos").alias("on_pos"))
     hung = light.join(on, "parent").select("node", F.col("on_chain").alias("up"), (F.col("on_pos") + F.col("shift")).alias("start"), F.array(F.struct(F.col("on_chain").alias("chain"), F.col("on_pos").alias("last"))).alias("path"))
-    tops = tree.where("parent is null").select("node", F.lit(None).cast("string").alias("up"), F.lit(0).cast("bigint").alias("start"), F.array().cast("array<struct<chain:string,last:bigint>>").alias("path"))
+    tops = tree.where("parent is null").select("node", F.lit(None).cast("bigint").alias("up"), F.lit(0).cast("bigint").alias("start"), F.array().cast("array<struct<chain:bigint,last:bigint>>").alias("path"))
     chains = _concatenate(shared, hung.unionByName(tops))
 
     own = F.struct(F.col("chain").alias("chain"), F.col("pos").alias("last"))
@@ -109,7 +113,10 @@ def hierarchy(links: DataFrame) -> DataFrame:
     )
     if cyclic is not None:
         out = out.unionByName(lost.join(cyclic, "node").select("node", F.col("up").alias("parent"), F.col("smallest").alias("root"), F.lit(-1).cast("bigint").alias("depth")), allowMissingColumns=True)
-    return out
+    of = lambda c: names.select(F.col("id").alias(c), F.col("name").alias(f"{c}_name"))
+    out = out.join(of("node"), "node").join(of("root"), "root")
+    out = out.where("parent is not null").join(of("parent"), "parent").unionByName(out.where("parent is null").withColumn("parent_name", F.lit(None).cast("string")))
+    return out.select(*(F.col(f"{c}_name").alias(c) for c in ("node", "parent", "root")), "depth", "descendants", "chain", "pos", "path", "first", "last")
 
 
 def _concatenate(shared: Shared, chains: DataFrame) -> DataFrame:
