@@ -76,14 +76,21 @@ def spent_markers(c: Chain) -> DataFrame:
     return c.txo.select("txid", "n").join(c.txi.select("txid", "n", "spending_txid", "spending_index"), ["txid", "n"], "left")
 
 
+def _key(c: Chain) -> list[str]:
+    """What names a transaction: its txid, with its height where blocks may repeat a txid."""
+    return ["txid", "height"] if "height" in c.txo.columns else ["txid"]
+
+
 def fees(c: Chain) -> DataFrame:
-    """(txid, fee_sats, input_count, output_count): inputs less outputs over all of them, 0 for a coinbase, null if an
-    input's output is unknown."""
-    ins = spent_outputs(c).groupBy(F.col("spending_txid").alias("txid")).agg(F.sum("value_sats").alias("in_sats"), F.count(F.lit(1)).alias("input_count"), F.count("value_sats").alias("known"))
-    outs = c.txo.groupBy("txid").agg(F.sum("value_sats").alias("out_sats"), F.count(F.lit(1)).alias("output_count"))
+    """(txid[, height], fee_sats, input_count, output_count): inputs less outputs over all of them, 0 for a coinbase, null if
+    an input's output is unknown."""
+    key = _key(c)
+    spent = spent_outputs(c).drop("txid").withColumnRenamed("spending_txid", "txid")
+    ins = spent.groupBy(*key).agg(F.sum("value_sats").alias("in_sats"), F.count(F.lit(1)).alias("input_count"), F.count("value_sats").alias("known"))
+    outs = c.txo.groupBy(*key).agg(F.sum("value_sats").alias("out_sats"), F.count(F.lit(1)).alias("output_count"))
     n = lambda x: F.coalesce(x, F.lit(0))
     fee = F.when(F.col("is_coinbase"), F.lit(0)).when(n("known") == n("input_count"), n("in_sats") - n("out_sats"))
-    return c.tx.select("txid", "is_coinbase").join(outs, "txid", "left").join(ins, "txid", "left").select("txid", fee.cast("bigint").alias("fee_sats"), n("input_count").alias("input_count"), n("output_count").alias("output_count"))
+    return c.tx.select(*key, "is_coinbase").join(outs, key, "left").join(ins, key, "left").select(*key, fee.cast("bigint").alias("fee_sats"), n("input_count").alias("input_count"), n("output_count").alias("output_count"))
 
 
 def address_deltas(c: Chain, address=single_address) -> DataFrame:
@@ -91,10 +98,11 @@ def address_deltas(c: Chain, address=single_address) -> DataFrame:
 
     address picks the address of an output: the only one for balances, the first one for clusters.
     """
-    plus = c.txo.select("txid", address(F.col("addresses")).alias("address"), F.col("value_sats").alias("v"))
-    minus = spent_outputs(c).select(F.col("spending_txid").alias("txid"), address(F.col("addresses")).alias("address"), (-F.col("value_sats")).alias("v"))
-    sums = plus.unionByName(minus).where("address is not null").groupBy("txid", "address").agg(F.sum("v").alias("delta_sats"))
-    return sums.join(c.tx.select("txid", "height", "tx_n", "ts"), "txid").select("txid", "height", "tx_n", "ts", "address", "delta_sats")
+    key = _key(c)
+    plus = c.txo.select(*key, address(F.col("addresses")).alias("address"), F.col("value_sats").alias("v"))
+    minus = spent_outputs(c).drop("txid").withColumnRenamed("spending_txid", "txid").select(*key, address(F.col("addresses")).alias("address"), (-F.col("value_sats")).alias("v"))
+    sums = plus.unionByName(minus).where("address is not null").groupBy(*key, "address").agg(F.sum("v").alias("delta_sats"))
+    return sums.join(c.tx.select("txid", "height", "tx_n", "ts"), key).select("txid", "height", "tx_n", "ts", "address", "delta_sats")
 
 
 def block_deltas(deltas: DataFrame) -> DataFrame:

@@ -34,10 +34,10 @@ class LedgerStore:
         spent = C.spent_outputs(seen)
         put(spent, "spent")
         done = own("spent", spent)
-        plus = own("txo", c.txo).select("txid", C.single_address(F.col("addresses")).alias("address"), F.col("value_sats").alias("v"))
-        minus = done.select(F.col("spending_txid").alias("txid"), C.single_address(F.col("addresses")).alias("address"), (-F.col("value_sats")).alias("v"))
-        sums = plus.unionByName(minus).where("address is not null").groupBy("txid", "address").agg(F.sum("v").alias("delta_sats"))
-        put(sums.join(tx.select("txid", "height", "tx_n", "ts"), "txid"), "address_delta")
+        plus = own("txo", c.txo).select("txid", "height", C.single_address(F.col("addresses")).alias("address"), F.col("value_sats").alias("v"))
+        minus = done.select(F.col("spending_txid").alias("txid"), "height", C.single_address(F.col("addresses")).alias("address"), (-F.col("value_sats")).alias("v"))
+        sums = plus.unionByName(minus).where("address is not null").groupBy("txid", "height", "address").agg(F.sum("v").alias("delta_sats"))
+        put(sums.join(tx.select("txid", "height", "tx_n", "ts"), ["txid", "height"]), "address_delta")
 
     def last_time(self, batch: int) -> int:
         """Milliseconds of the last block of the batch before, 0 at first."""
