@@ -26,7 +26,7 @@ def _bare(c: str):
 
 def p1_tree(spark: SparkSession, d: str) -> DataFrame:
     t = hierarchy.hierarchy(_links(spark, d))
-    return t.select(F.substring_index("node", ":", 1).alias("tbl"), _bare("node").alias("node"), _bare("root").alias("root"), "depth", "descendants")
+    return t.select(F.substring_index("node", ":", 1).alias("tbl"), _bare("node").alias("node"), _bare("root").alias("root"), "depth", F.coalesce("descendants", F.lit(-1)).alias("descendants"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +91,28 @@ t AS (SELECT g.address, g.day, sum(CASE WHEN c.day > g.day - 7 THEN c.s ELSE 0 E
       FROM grid g LEFT JOIN cells c ON c.address = g.address AND c.day BETWEEN g.day - 29 AND g.day GROUP BY g.address, g.day)
 """
 
+_H = sql.hash_
+_REPORT = f"""WITH RECURSIVE r AS (SELECT DISTINCT {_H("spending_txid")} AS s, spending_index AS i, {_H("txid")} AS t, vout AS n FROM transaction_input WHERE coinbase IS NULL AND {_H("txid")} IS NOT NULL),
+o AS (SELECT DISTINCT {_H("txid")} AS t, n FROM transaction_output),
+d AS (SELECT *, NOT EXISTS (SELECT 1 FROM o WHERE o.t = r.t AND o.n = r.n) AS direct FROM r),
+bad AS (SELECT DISTINCT s AS x FROM d WHERE direct AND s IS NOT NULL UNION SELECT r.s FROM bad JOIN r ON r.t = bad.x WHERE r.s IS NOT NULL AND r.s <> r.t),
+m AS (SELECT height, hash, previousblockhash AS prev, strftime(make_timestamp(time * 1000000), '%Y-%m') AS period FROM block),
+w AS (SELECT {_H("txid")} AS t, min(p) AS period FROM confirmed_transaction JOIN (SELECT height, min(period) AS p FROM m WHERE height IS NOT NULL AND period IS NOT NULL GROUP BY height) USING (height) WHERE txid IS NOT NULL GROUP BY 1),
+known AS (SELECT DISTINCT {_H("spending_txid")} AS s, spending_index AS i FROM transaction_input),
+k AS (SELECT DISTINCT {_H("spending_txid")} AS s, spending_index AS i, {_H("txid")} AS t, n FROM transaction_output WHERE {_H("spending_txid")} IS NOT NULL),
+c AS (SELECT DISTINCT {_H("txid")} AS t, height FROM confirmed_transaction WHERE txid IS NOT NULL AND height IS NOT NULL),
+b AS (SELECT {_H("hash")} AS h, {_H("prev")} AS p, min(period) AS period FROM m WHERE {_H("hash")} IS NOT NULL AND {_H("prev")} IS NOT NULL GROUP BY 1, 2),
+u AS (SELECT 'transaction_input' AS tbl, 'transaction_output' AS refers_to, w.period, direct AS d, NOT direct AND d.t IN (SELECT x FROM bad) AS i FROM d LEFT JOIN w ON w.t = d.s
+  UNION ALL SELECT 'transaction_output', 'transaction_input', w.period, NOT EXISTS (SELECT 1 FROM known WHERE known.s = k.s AND known.i = k.i), FALSE FROM k LEFT JOIN w ON w.t = k.t
+  UNION ALL SELECT 'confirmed_transaction', 'block', w.period, NOT EXISTS (SELECT 1 FROM m WHERE m.height = c.height), FALSE FROM c LEFT JOIN w ON w.t = c.t
+  UNION ALL SELECT 'block', 'block', period, NOT EXISTS (SELECT 1 FROM b b2 WHERE b2.h = b.p), FALSE FROM b)
+SELECT tbl, refers_to, period, count(*) AS refs, CAST(sum(CAST(d AS INTEGER)) AS BIGINT) AS direct, CAST(sum(CAST(i AS INTEGER)) AS BIGINT) AS inherited FROM u GROUP BY tbl, refers_to, period"""
+
 SQL = {
+    "p7_report": _REPORT,
+    "p1_tree": _TREE + """, anc AS (SELECT tbl, node, node AS up FROM tree UNION ALL SELECT a.tbl, a.node, l.parent FROM anc a JOIN link l ON l.tbl = a.tbl AND l.node = a.up WHERE l.parent IS NOT NULL),
+below AS (SELECT tbl, up, count(*) - 1 AS n FROM anc GROUP BY tbl, up)
+SELECT t.tbl, t.node, t.root, CAST(t.depth AS BIGINT) AS depth, b.n AS descendants FROM tree t JOIN below b ON b.tbl = t.tbl AND b.up = t.node UNION ALL SELECT tbl, node, root, -1, -1 FROM cyc""",
     "p1_found": _TREE + "SELECT tbl, node, root, CAST(depth AS BIGINT) AS depth FROM tree WHERE depth > 12 UNION ALL SELECT tbl, node, root, CAST(depth AS BIGINT) FROM cyc",
     "p4_found": f"""WITH {sql.CELLS}, days AS (SELECT day, sum(n) AS total FROM cells GROUP BY day)
 SELECT address, CAST(c.day AS VARCHAR) AS day FROM cells c JOIN days d ON c.day = d.day WHERE n >= 5 AND n * 100 >= total * 4 AND s < 0""",
