@@ -102,28 +102,30 @@ def report(inputs: DataFrame, outputs: DataFrame, transactions: DataFrame, block
     confirmed_transaction names a block by height, and block names its predecessor. Only the first can be inherited:
     an input that spends an output of a transaction with an orphaned input.
     """
-    refs = input_references(inputs).distinct()
-    gone = orphans(inputs, outputs)
-    when = periods(transactions, blocks)
-    one = lambda df, tbl, to, period, d, i: df.select(F.lit(tbl).alias("tbl"), F.lit(to).alias("refers_to"), period.alias("period"), d.cast("bigint").alias("direct"), i.cast("bigint").alias("inherited"))
+    month = F.date_format(F.date_from_unix_date(F.floor(F.col("time") / 86400).cast("int")), "yyyy-MM").alias("period")
+    when = Shared(inputs.sparkSession, "orphans").table(periods(transactions, blocks))
     no, yes = F.lit(0), F.lit(1)
 
-    def split(all_rows: DataFrame, orphan: DataFrame) -> DataFrame:
-        """Each row with d, whether it is a direct orphan, and i, whether it only is one by inheritance."""
-        keys = all_rows.columns
-        flags = orphan.select(*keys, "d", "i") if "d" in orphan.columns else orphan.select(*keys, yes.alias("d"), no.alias("i"))
-        return all_rows.withColumn("d", no).withColumn("i", no).unionByName(flags).groupBy(*keys).agg(F.max("d").alias("d"), F.max("i").alias("i"))
+    def counted(tbl: str, to: str, rows: DataFrame, gone: DataFrame, key: str | None) -> DataFrame:
+        """Rows of the report: every reference counts once, and once more what it is an orphan by."""
+        dated = lambda df: df if key is None else df.join(when.withColumnRenamed("txid", key), key, "left")
+        if "direct" not in gone.columns:
+            gone = gone.withColumn("direct", F.lit(True))
+        every = dated(rows).select("period", yes.alias("refs"), no.alias("direct"), no.alias("inherited"))
+        orphan = dated(gone).select("period", no.alias("refs"), F.col("direct").cast("int").alias("direct"), (~F.col("direct")).cast("int").alias("inherited"))
+        return every.unionByName(orphan).select(F.lit(tbl).alias("tbl"), F.lit(to).alias("refers_to"), "*")
 
-    gone = gone.withColumn("d", F.col("direct").cast("int")).withColumn("i", (~F.col("direct")).cast("int"))
-    spends = split(refs, gone).join(when.withColumnRenamed("txid", "spending_txid"), "spending_txid", "left")
+    refs = input_references(inputs).distinct()
     marks = outputs.select(norm_hash(F.col("spending_txid")).alias("spending_txid"), F.col("spending_index").cast("bigint").alias("spending_index"), norm_hash(F.col("txid")).alias("txid"), F.col("n").cast("bigint").alias("n")).where("spending_txid is not null").distinct()
     known = inputs.select(norm_hash(F.col("spending_txid")).alias("spending_txid"), F.col("spending_index").cast("bigint").alias("spending_index"))
-    spent = split(marks, missing(marks, known, ["spending_txid", "spending_index"])).join(when, "txid", "left")
     held = transactions.select(norm_hash(F.col("txid")).alias("txid"), "height").where("txid is not null and height is not null").distinct()
-    held = split(held, missing(held, blocks, ["height"])).join(when, "txid", "left")
-    chain = blocks.select(norm_hash(F.col("hash")).alias("hash"), norm_hash(F.col("previousblockhash")).alias("prev"), F.date_format(F.date_from_unix_date(F.floor(F.col("time") / 86400).cast("int")), "yyyy-MM").alias("period")).where("hash is not null and prev is not null")
+    chain = blocks.select(norm_hash(F.col("hash")).alias("hash"), norm_hash(F.col("previousblockhash")).alias("prev"), month).where("hash is not null and prev is not null")
     chain = chain.groupBy("hash", "prev").agg(F.min("period").alias("period"))
-    links = split(chain, missing(chain, chain.select(F.col("hash").alias("prev")), ["prev"]))
-    d, i, p = F.col("d"), F.col("i"), F.col("period")
-    rows = one(spends, "transaction_input", "transaction_output", p, d, i).unionByName(one(spent, "transaction_output", "transaction_input", p, d, i)).unionByName(one(held, "confirmed_transaction", "block", p, d, i)).unionByName(one(links, "block", "block", p, d, i))
-    return rows.groupBy("tbl", "refers_to", "period").agg(F.count(F.lit(1)).alias("refs"), F.sum("direct").alias("direct"), F.sum("inherited").alias("inherited"))
+    rows = [
+        counted("transaction_input", "transaction_output", refs, orphans(inputs, outputs), "spending_txid"),
+        counted("transaction_output", "transaction_input", marks, missing(marks, known, ["spending_txid", "spending_index"]), "txid"),
+        counted("confirmed_transaction", "block", held, missing(held, blocks, ["height"]), "txid"),
+        counted("block", "block", chain, missing(chain, chain.select(F.col("hash").alias("prev")), ["prev"]), None),
+    ]
+    counts = [F.sum(c).cast("bigint").alias(c) for c in ("refs", "direct", "inherited")]
+    return reduce(DataFrame.unionByName, (r.groupBy("tbl", "refers_to", "period").agg(*counts) for r in rows))
