@@ -40,9 +40,9 @@ def _lift(shared: Shared, start: DataFrame, sizes: bool) -> DataFrame:
         at = state.select(F.col("node").alias("at"), F.col("up").alias("next"), F.col("top").alias("at_top"), F.col("dist").alias("more"))
         moved = act.join(at, F.col("up") == F.col("at")).select("node", F.col("next").alias("up"), F.col("at_top").alias("top"), (F.col("dist") + F.col("more")).alias("dist"), "size")
         new = moved.unionByName(done)
-        if sizes:
-            add = act.groupBy(F.col("up").alias("node")).agg(F.sum("size").alias("add"))
-            new = new.join(add, "node", "left").select("node", "up", "top", "dist", (F.col("size") + F.coalesce("add", F.lit(0))).alias("size"))
+        if sizes:  # one aggregate instead of a join: the row of a node, and what is added to its size
+            added = act.select(F.col("up").alias("node"), *(F.lit(None).cast("bigint").alias(k) for k in ("up", "top", "dist")), "size")
+            new = new.unionByName(added).groupBy("node").agg(*(F.max(k).alias(k) for k in ("up", "top", "dist")), F.sum("size").alias("size"))
         new, c = shared.write(new, active=F.col("up").isNotNull())
         shared.forget(state)
         state, before, active = new, active, c["active"]
@@ -56,10 +56,13 @@ def _cycles(shared: Shared, links: DataFrame, count: int) -> DataFrame:
     state = shared.table(links.select("node", F.col("up"), F.col("node").alias("low")))
     reach = 1
     while reach < count:
-        at = state.select(F.col("node").alias("at"), F.col("up").alias("next"), F.col("low").alias("at_low"))
-        new = shared.table(state.join(at, F.col("up") == F.col("at")).select("node", F.col("next").alias("up"), F.least("low", "at_low").alias("low")))
+        new = state
+        for _ in range(2):
+            at = new.select(F.col("node").alias("at"), F.col("up").alias("next"), F.col("low").alias("at_low"))
+            new = new.join(at, F.col("up") == F.col("at")).select("node", F.col("next").alias("up"), F.least("low", "at_low").alias("low"))
+        new = shared.table(new)
         shared.forget(state)
-        state, reach = new, reach * 2
+        state, reach = new, reach * 4
     at = state.select(F.col("node").alias("at"), F.col("low").alias("smallest"))
     return state.join(at, F.col("up") == F.col("at")).select("node", "smallest")
 
