@@ -54,6 +54,7 @@ def _millis(df: DataFrame) -> DataFrame:
 
 
 _BLOCK = ["hash", "height", "time", "previousblockhash", "size", "tx_count"]
+_NUMBERS = ["height", "time", "size", "tx_count"]
 _add("g6_transaction", lambda s: A.transaction(s, _busiest(s.transaction_input, "spending_txid")), "SELECT txid, height, tx_n FROM ct WHERE txid = (SELECT txid FROM one) ORDER BY height DESC, tx_n DESC LIMIT 1")
 _add("g7_transaction_input", lambda s: A.transaction_input(s, _busiest(s.transaction_input, "spending_txid"), 0).select("spending_txid", "spending_index", "txid", "vout", "sequence"), "SELECT spending_txid, spending_index, txid, vout, sequence FROM ti WHERE spending_txid = (SELECT txid FROM one) AND spending_index = 0")
 _add("g8_transaction_output", lambda s: A.transaction_output(s, _busiest(s.transaction_input, "spending_txid"), 0).select("txid", "n", "value_sats", "addresses"), "SELECT * FROM tu WHERE txid = (SELECT txid FROM one) AND n = 0")
@@ -71,6 +72,7 @@ _add("g26_address_balances", lambda s: _millis(A.address_balances(s, _busiest(s.
      "SELECT epoch_ms(\"timestamp\") AS time_ms, CAST(sum(sum(change_sats)) OVER (ORDER BY \"timestamp\") AS BIGINT) AS balance_sats FROM at_ WHERE address = (SELECT address FROM hot) AND change_sats IS NOT NULL GROUP BY \"timestamp\"")
 _add("g27_address_confirmed", lambda s: s.address_transaction.join(s.confirmed_transaction, ["height", "tx_n"]).select("address", "height", "tx_n", "txid"), "SELECT a.address, a.height, a.tx_n, ct.txid FROM at_ a JOIN ct ON ct.height = a.height AND ct.tx_n = a.tx_n")
 _add("g33_chain_blocks", lambda s: A.block_details(s, s.longest_chain.select("hash")).select("hash", "previousblockhash").where("previousblockhash is not null"), "SELECT b.hash, previousblockhash FROM b JOIN lc ON lc.hash = b.hash WHERE previousblockhash IS NOT NULL")
+_add("g33_all_chain_blocks", lambda s: A.block_details(s, s.longest_chain.select("hash")).select("hash", "previousblockhash"), "SELECT b.hash, previousblockhash FROM b JOIN lc ON lc.hash = b.hash")
 _add("g34_block_transactions_page", lambda s: A.block_transactions(s, _least_height(s), 2), "SELECT height, tx_n, txid FROM ct WHERE height = (SELECT height FROM h0)", ("tx_n", 2))
 _add("g37_transaction_blocks", lambda s: A.transaction_blocks(s, s.confirmed_transaction), "SELECT ct.height, tx_n, txid, hash FROM ct LEFT JOIN lc ON lc.height = ct.height")
 _add("g36_transaction_details", lambda s: _text(A.transaction_details(s), "fee_sats"), """, i AS (SELECT ti.spending_txid AS txid, count(*) AS k, sum(o.value_sats) AS v, count(o.value_sats) AS known FROM ti LEFT JOIN tu o ON o.txid = ti.txid AND o.n = ti.vout WHERE coinbase IS NULL GROUP BY 1),
@@ -95,18 +97,25 @@ def w1_block_times(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sink_k1_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Only the blocks with all fields; sink_k1_all_blocks has every block."""
     return A.open_store(spark, d).block.select(_BLOCK).where("time is not null and previousblockhash is not null and size is not null and tx_count is not null and height is not null")
 
 
+def sink_k1_all_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Every block with a hash, its key; missing fields are null. Numbers as text, so that nulls compare."""
+    return _text(A.open_store(spark, d).block.select(_BLOCK), *_NUMBERS)
+
+
 def s1_final_heights(spark: SparkSession, d: str) -> DataFrame:
     from chainloom.sources.blocks import final_blocks
 
     return final_blocks(A.open_store(spark, d).longest_chain)
 
 
-QUERIES |= {f.__name__: f for f in (w1_block_times, sink_k1_blocks, s1_final_heights)}
+QUERIES |= {f.__name__: f for f in (w1_block_times, sink_k1_blocks, sink_k1_all_blocks, s1_final_heights)}
 SQL["w1_block_times"] = """WITH o AS (SELECT height, min(time) AS t FROM block WHERE height IS NOT NULL AND time IS NOT NULL GROUP BY height),
 n AS (SELECT *, row_number() OVER (ORDER BY height) - 1 AS i FROM o)
 SELECT height, CAST(greatest(max(t * 1000 - i) OVER (ORDER BY height), 1) + i AS BIGINT) AS time_ms FROM n"""
 SQL["sink_k1_blocks"] = "WITH" + STORE + f" SELECT {', '.join(_BLOCK)} FROM b WHERE hash IS NOT NULL AND time IS NOT NULL AND previousblockhash IS NOT NULL AND size IS NOT NULL AND tx_count IS NOT NULL AND height IS NOT NULL"
+SQL["sink_k1_all_blocks"] = "WITH" + STORE + f" SELECT {', '.join(f'CAST({c} AS VARCHAR) AS {c}' if c in _NUMBERS else c for c in _BLOCK)} FROM b WHERE hash IS NOT NULL"
 SQL["s1_final_heights"] = "WITH" + STORE + " SELECT height, hash FROM lc WHERE height <= (SELECT max(height) FROM lc) - 5"
