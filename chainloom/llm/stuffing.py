@@ -40,6 +40,8 @@ TOKEN = re.compile(
 LINK, MARKUP, HASH_TAG, DOMAIN, WORD, NUMBER, TAG = range(1, 8)
 #: The words before a colon or equals sign that make what follows a tag.
 TAG_WORDS = frozenset("category categories keyword keywords rel tag tags".split())
+#: What follows a word of a list, and the share of words that it follows from which a text is a list.
+SEPARATOR, LISTED = re.compile(r"\s*[,;|•·]"), 0.25
 #: What marks a line as one of a log, a table of hashes, code or data records.
 RECORD = re.compile(r"[0-9a-f]{32}|\d\d:\d\d:\d\d\b[^\n]*\w=\d|\{[^\n]*[:{][^\n]*\}")
 LINE = re.compile(r"\n|<br ?/?>")
@@ -103,6 +105,7 @@ def stuffed_shares(pages: list[Page], stated: list[str | None]) -> tuple[list[st
         if found[i].string[found[i].end() : found[i].end() + 1] in (":", "="):
             kinds[i] = TAG
     is_word, size = kinds == WORD, len(words)
+    listed = is_word & np.array([SEPARATOR.match(m.string, m.end()) is not None for m in found])
     spoken = np.array([[w in v for v in FUNCTION_WORDS.values()] for w in words])
     marks = np.flatnonzero(spoken.any(axis=1)[code] & is_word)
 
@@ -143,7 +146,7 @@ def stuffed_shares(pages: list[Page], stated: list[str | None]) -> tuple[list[st
     mostly = 2 * np.add.reduceat(odd * length[:, None], cuts, axis=0) > np.add.reduceat(length, cuts)[:, None]
     odd = np.where((sizes <= 2 * REACH)[line][:, None], mostly[line], odd) & ~record[:, None]
     shares[doc[opens]] = np.add.reduceat(odd * length[:, None], opens, axis=0) / np.diff(base)[doc[opens]][:, None]
-    shares *= _repeats(odd[:, USUAL], kinds, doc, code, docs, size)[:, None]
+    shares *= _repeats(odd[:, USUAL], kinds, listed, doc, code, docs, size)[:, None]
     hits = np.stack([np.bincount(doc[is_word], spoken[code[is_word], k], minlength=docs) for k in range(spoken.shape[1])], axis=1)
     return [_language(h, w, s) for h, w, s in zip(hits.tolist(), np.bincount(doc[is_word], minlength=docs).tolist(), stated)], shares
 
@@ -166,9 +169,10 @@ def _language(hits: list[float], words: int, stated: str | None) -> str:
     return stated if stated in by else ""
 
 
-def _repeats(odd: np.ndarray, kinds: np.ndarray, doc: np.ndarray, code: np.ndarray, docs: int, size: int) -> np.ndarray:
-    """Of each text, whether what has no sentences is links, tags or repetition rather than headings, signatures or other
-    matter."""
+def _repeats(odd: np.ndarray, kinds: np.ndarray, listed: np.ndarray, doc: np.ndarray, code: np.ndarray, docs: int, size: int) -> np.ndarray:
+    """Of each text, whether what has no sentences is links, tags, repetition or a list of words rather than headings,
+    signatures or other matter. Lines said twice need no test of their own: where copies of earlier lines hold 0.4 of the
+    words, at most 0.6 are different."""
     total = np.bincount(doc[odd], minlength=docs)
     marks = np.bincount(doc[odd & (kinds != WORD) & (kinds != NUMBER)], minlength=docs)
     pairs, often = np.unique((doc * size + code)[odd & (kinds == WORD)], return_counts=True)
@@ -178,7 +182,9 @@ def _repeats(odd: np.ndarray, kinds: np.ndarray, doc: np.ndarray, code: np.ndarr
     rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
     best = order[(rank < 10) & (often[order] > 1)]
     top = np.bincount(owner[best], often[best], minlength=docs)
-    return (total > 0) & ((marks >= 0.25 * total) | (n >= 8) & ((different <= 0.6 * n) | (top >= 0.4 * n)))
+    # Lists of mostly numbers are data.
+    lists = (np.bincount(doc[odd & listed], minlength=docs) >= LISTED * n) & (2 * n >= total)
+    return (total > 0) & ((marks >= 0.25 * total) | (n >= 8) & ((different <= 0.6 * n) | (top >= 0.4 * n) | lists))
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
