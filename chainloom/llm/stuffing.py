@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,8 @@ TAG_WORDS = frozenset("category categories keyword keywords rel tag tags".split(
 SEPARATOR, LISTED = re.compile(r"\s*[,;|•·]"), 0.25
 #: What marks a line as one of a log, a table of hashes, code or data records.
 RECORD = re.compile(r"[0-9a-f]{32}|\d\d:\d\d:\d\d\b[^\n]*\w=\d|\{[^\n]*[:{][^\n]*\}")
+#: On lines of more than 2 * REACH tokens, the marks around which REACH tokens are a record.
+MARK = re.compile(r"[0-9a-f]{32,}|\d\d:\d\d:\d\d\b|(?<![?&\w])\w+=\d|[{}]|\w\"?:\s*[\d\"\[]")
 LINE = re.compile(r"\n|<br ?/?>")
 FEATURES = "doc_id bigint, lang string, shares array<double>"
 #: Tokens and documents that are looked at together; bounds a worker's memory.
@@ -60,12 +63,23 @@ class Page:
         self.text = text = text.lower()
         self.found = [m for m in TOKEN.finditer(text) if m.lastindex != MARKUP]
         self.lines = [m.end() for m in LINE.finditer(text)]
-        self.records, end = [], 0
+        self.records, end, starts = [], 0, [m.start() for m in self.found]
         for m in RECORD.finditer(text):
             if m.start() >= end:
                 end = text.find("\n", m.end())
                 end = len(text) if end < 0 else end
-                self.records.append((text.rfind("\n", 0, m.start()) + 1, end))
+                begin = text.rfind("\n", 0, m.start()) + 1
+                lo, hi = bisect_left(starts, begin), bisect_left(starts, end)
+                if hi - lo <= 2 * REACH:
+                    self.records.append((begin, end))
+                    continue
+                upto = begin
+                for k in MARK.finditer(text, begin, end):
+                    a, b = bisect_right(starts, k.start()) - 1 - REACH, bisect_left(starts, k.end()) + REACH
+                    a, b = max(upto, starts[a] if a > lo else begin), starts[b] if b < hi else end
+                    if a < b:
+                        self.records.append((a, b))
+                        upto = b
 
 
 def _running(v: np.ndarray) -> np.ndarray:

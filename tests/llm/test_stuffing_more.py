@@ -17,3 +17,15 @@ def test_lists_of_different_words_are_found():
         assert share("tags: " + separator.join(f"{a} {b}" for a, b in zip(WORDS[::2], WORDS[1::2]))) > 0.5
     assert share("\n".join(f"{i},{i * 7},{i * 0.25},{w}" for i, w in enumerate(WORDS))) < 0.5
     assert share(" ".join(WORDS)) < 0.5
+
+
+def test_a_record_mark_exempts_only_what_is_around_it():
+    links = " ".join(f"https://shop.name{i}.example/low-fees?ref={i}" for i in range(60))
+    words = "cheap wallet airdrop promo code " * 60
+    for mark in ("ab12cd34" * 8, "https://explorer.example/tx/" + "ab12cd34" * 8, "<style>p {color: red}</style>", "12:00:43 height=7"):
+        for page in (links, words):
+            assert share(f"{page} {mark} {page}") > 0.5, mark
+            assert share(f"{mark} {page} {mark}") > 0.5, mark
+    for name in ("log", "records", "hashes", "code"):
+        assert share(OTHER[name].replace("\n", " ")) < 0.5, name
+        assert share(OTHER[name]) < 0.5, name
