@@ -23,10 +23,9 @@ FUNCTION_WORDS = {
 }
 #: Tokens on either side that make up a token's surroundings, and the fewest words of a line judged by itself.
 REACH, OWN = 12, 8
-#: Candidate bounds of the function words per token from which surroundings are sentences; the middle one is usual. The
-#: bound of a language is fitted where it has at least FIT_FROM documents.
+#: Candidate bounds of the function words per token from which surroundings are sentences; the middle one is usual.
 BOUNDS = np.array([0.06, 0.08, 0.10, 0.12, 0.14, 0.16, 0.18])
-USUAL, FIT_FROM = 3, 200
+USUAL = 3
 #: Tokens within which a repeated surrounding of a function word counts as repeated, and the shares of words not said
 #: just before from which surroundings begin to be a text and wholly are one.
 NEAR, POOR, RICH = 240, 0.2, 0.4
@@ -63,11 +62,12 @@ class Page:
         self.text = text = text.lower()
         self.found = [m for m in TOKEN.finditer(text) if m.lastindex != MARKUP]
         self.lines = [m.end() for m in LINE.finditer(text)]
-        self.records, end, starts = [], 0, [m.start() for m in self.found]
+        self.records, end, starts = [], 0, None
         for m in RECORD.finditer(text):
             if m.start() >= end:
                 end = text.find("\n", m.end())
                 end = len(text) if end < 0 else end
+                starts = starts or [m.start() for m in self.found]
                 begin = text.rfind("\n", 0, m.start()) + 1
                 lo, hi = bisect_left(starts, begin), bisect_left(starts, end)
                 if hi - lo <= 2 * REACH:
@@ -119,7 +119,6 @@ def stuffed_shares(pages: list[Page], stated: list[str | None]) -> tuple[list[st
         if found[i].string[found[i].end() : found[i].end() + 1] in (":", "="):
             kinds[i] = TAG
     is_word, size = kinds == WORD, len(words)
-    listed = is_word & np.array([SEPARATOR.match(m.string, m.end()) is not None for m in found])
     spoken = np.array([[w in v for v in FUNCTION_WORDS.values()] for w in words])
     marks = np.flatnonzero(spoken.any(axis=1)[code] & is_word)
 
@@ -160,7 +159,17 @@ def stuffed_shares(pages: list[Page], stated: list[str | None]) -> tuple[list[st
     mostly = 2 * np.add.reduceat(odd * length[:, None], cuts, axis=0) > np.add.reduceat(length, cuts)[:, None]
     odd = np.where((sizes <= 2 * REACH)[line][:, None], mostly[line], odd) & ~record[:, None]
     shares[doc[opens]] = np.add.reduceat(odd * length[:, None], opens, axis=0) / np.diff(base)[doc[opens]][:, None]
-    shares *= _repeats(odd[:, USUAL], kinds, listed, doc, code, docs, size)[:, None]
+    listed = np.zeros(n, bool)
+    for i in np.flatnonzero(odd.any(axis=1) & is_word).tolist():
+        listed[i] = SEPARATOR.match(found[i].string, found[i].end()) is not None
+    # Only texts in which a bound makes a difference are looked at again under it.
+    fits = np.zeros(docs, bool)
+    for k in range(len(BOUNDS)):
+        other = np.zeros(docs, bool)
+        other[doc[odd[:, k] != odd[:, k - 1]] if k else doc] = True
+        use = np.flatnonzero(odd[:, k] & other[doc])
+        fits = np.where(other, _repeats(np.ones(len(use), bool), kinds[use], listed[use], doc[use], code[use], docs, size), fits)
+        shares[:, k] *= fits
     hits = np.stack([np.bincount(doc[is_word], spoken[code[is_word], k], minlength=docs) for k in range(spoken.shape[1])], axis=1)
     return [_language(h, w, s) for h, w, s in zip(hits.tolist(), np.bincount(doc[is_word], minlength=docs).tolist(), stated)], shares
 
@@ -217,18 +226,18 @@ def stuffing(documents: DataFrame) -> DataFrame:
     """(doc_id, lang, bound, share): the share of each document's characters that is stuffing, lang as its words tell.
 
     One pass computes the shares under all candidate bounds. Of each language the bound is taken at which the number of
-    pages that are mostly stuffing changes least from its neighbours (the middle one on ties, and for languages of fewer
-    than FIT_FROM documents), counted over all documents. Null, empty and blank texts have share 0 and no language.
+    pages that are mostly stuffing changes least from its neighbours (the middle one on ties), counted over all documents,
+    however many there are. Null, empty and blank texts have share 0 and no language.
     Documents are judged one by one; only seven counts a language are gathered.
     """
     docs = spread(documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.col("lang").cast("string").alias("stated")))
     rows = Shared(documents.sparkSession, "stuffing").table(docs.mapInArrow(_features, FEATURES))
     k = len(BOUNDS)
     pages = [F.sum((F.col("shares")[i] > 0.5).cast("bigint")) for i in range(k)]
-    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.array(*pages).alias("pages"))
+    counted = rows.groupBy("lang").agg(F.array(*pages).alias("pages"))
     change = lambda i: F.abs(F.col("pages")[min(i + 1, k - 1)] - F.col("pages")[max(i - 1, 0)]) * (2 if i in (0, k - 1) else 1)
     fitted = F.least(*(F.struct(change(i).alias("c"), F.lit(abs(i - USUAL)).alias("d"), F.lit(i).alias("i")) for i in range(k)))["i"]
-    bounds = counted.select("lang", F.when(F.col("n") >= FIT_FROM, fitted).otherwise(F.lit(USUAL)).alias("i"))
+    bounds = counted.select("lang", fitted.alias("i"))
     values = F.array(*(F.lit(float(b)) for b in BOUNDS))
     # One row per language.
     return rows.join(F.broadcast(bounds), "lang").select("doc_id", "lang", values[F.col("i")].alias("bound"), F.col("shares")[F.col("i")].alias("share"))

@@ -29,3 +29,20 @@ def test_a_record_mark_exempts_only_what_is_around_it():
     for name in ("log", "records", "hashes", "code"):
         assert share(OTHER[name].replace("\n", " ")) < 0.5, name
         assert share(OTHER[name]) < 0.5, name
+
+
+SPARSE = ", ".join(x for i in range(0, 56, 7) for x in [*WORDS[i : i + 7], sorted(stuffing.FUNCTION_WORDS["en"])[i]])
+
+
+def test_evidence_is_taken_under_each_bound():
+    got = shares(SPARSE)[1][0]
+    assert got[stuffing.USUAL - 1] == 0 and got[stuffing.USUAL + 2] > 0.5
+
+
+def test_one_rule_at_every_size(spark):
+    bounds = []
+    for copies in (9, 210):
+        rows = [(i, SPARSE, "en") for i in range(copies)]
+        found = stuffing.stuffing(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+        bounds.append({(r.lang, r.bound) for r in found.select("lang", "bound").distinct().collect()})
+    assert bounds[0] == bounds[1] and {b for _, b in bounds[0]} != {stuffing.BOUNDS[stuffing.USUAL]}
