@@ -94,13 +94,13 @@ def _ahead(rows: DataFrame, group: list[str], part: str, order: list[str]) -> Da
     return rows.withColumn("inside", inside).join(sums, [*group, part]).withColumn("ahead", F.col("before") + F.col("inside")).drop("before", "inside")
 
 
-def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 7, vocabulary: str = VOCABULARY) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 7, vocabulary: str = VOCABULARY, whole: bool = False) -> DataFrame:
     """(doc_id, source, copy, tokens, finish, upto): the mix in its order, upto being the tokens up to and with each row.
 
     Weighted fair queueing: the documents of each source are shuffled by a hash of seed and doc_id and queued, the whole
     queue again for each further copy up to max_repeats; a document's virtual finish time is the tokens of its source up
     to its end, divided by the source's share. All queues are merged by finish time, range-sorted and cut where the total
-    would exceed the budget (see horizon). The weights of sources without any token are left to the others. No row is
+    would exceed the budget (see horizon; whole takes as budget the tokens of all sources that the targets name). The weights of sources without any token are left to the others. No row is
     gathered on the driver but the totals of the sources; a source with most of the rows is summed in PARTS pieces.
     """
     want = read_targets(targets)
@@ -109,7 +109,7 @@ def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, see
     sizes = token_sizes(documents, list(want), vocabulary).withColumn("key", key).withColumn("part", F.pmod("key", F.lit(PARTS)))
     sizes = shared.table(sizes)
     totals = {r.source: r.n for r in sizes.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
-    share, budget, end = horizon(totals, want, budget)
+    share, budget, end = horizon(totals, want, sum(n or 0 for n in totals.values()) if whole else budget)
     if not share:
         return sizes.select("doc_id", "source", F.lit(0).alias("copy"), "tokens", F.lit(0.0).alias("finish"), F.lit(0).cast("bigint").alias("upto")).limit(0)
     queue = _ahead(sizes, ["source"], "part", ["key", "doc_id"])

@@ -37,6 +37,15 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(p9_mix(spark, d), table(spark, d, "mix_target"))
 
 
+def p9_whole_mix(spark: SparkSession, d: str) -> DataFrame:
+    """A mix of as many tokens as all named sources hold: sources that run out fall short of their weights."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_target"), whole=True)
+
+
+def p9_whole_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(p9_whole_mix(spark, d), table(spark, d, "mix_target"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.stuffed_pages(table(spark, d, "documents"))
 
@@ -51,4 +60,4 @@ e AS (SELECT a, b FROM p WHERE a <> b UNION SELECT b, a FROM p WHERE a <> b),
 r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT a AS address, least(a, min(b)) AS group_id FROM r GROUP BY a""",
 }
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p8_found, p8_items, p9_mix, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p8_found, p8_items, p9_mix, p9_shares, p9_whole_mix, p9_whole_shares, p10_found)}
