@@ -29,6 +29,12 @@ def p1_tree(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.substring_index("node", ":", 1).alias("tbl"), _bare("node").alias("node"), _bare("root").alias("root"), "depth", F.coalesce("descendants", F.lit(-1)).alias("descendants"))
 
 
+def p1_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Every node with its path segments and the interval of its descendants; hierarchy says how they are read."""
+    t = hierarchy.hierarchy(_links(spark, d))
+    return t.select(F.substring_index("node", ":", 1).alias("tbl"), *(_bare(c).alias(c) for c in ("node", "parent", "root")), "depth", "descendants", "chain", "pos", "path", "first", "last")
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Depths are read off the path segments; cycles have none."""
     t = hierarchy.hierarchy(_links(spark, d))
@@ -131,4 +137,4 @@ CAST(s7 AS DOUBLE) / 7 AS average_short, CAST(s30 AS DOUBLE) / 30 AS average_lon
     "p7_found": f"""SELECT DISTINCT {sql.hash_("i.spending_txid")} AS spending_txid, CAST(spending_index AS BIGINT) AS spending_index FROM transaction_input i
 WHERE coinbase IS NULL AND {sql.hash_("i.txid")} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM transaction_output o WHERE {sql.hash_("o.txid")} = {sql.hash_("i.txid")} AND o.n = i.vout)""",
 }
-QUERIES = {f.__name__: f for f in (p1_found, p1_tree, p4_found, p4_daily_sums, p5_found, p5_state, p6_found, p6_rolling, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_tree, p1_paths, p4_found, p4_daily_sums, p5_found, p5_state, p6_found, p6_rolling, p7_found, p7_report)}
