@@ -29,6 +29,13 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return found.join(items.select("item_id", "benchmark", "split").dropDuplicates(["item_id"]), "item_id").select("item_id", "benchmark", "split", "documents", "longest_run")
 
 
+def p8_near(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs with at least one window of an item, equal (exact, the longest run in run_words) or only alike."""
+    found = leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
+    pairs = found.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.max("run_words").alias("run_words"))
+    return pairs.select("doc_id", "item_id", (F.col("run_words") >= leaks.WINDOW).alias("exact"), "similarity", "run_words")
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_target"))
 
@@ -60,4 +67,4 @@ e AS (SELECT a, b FROM p WHERE a <> b UNION SELECT b, a FROM p WHERE a <> b),
 r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT a AS address, least(a, min(b)) AS group_id FROM r GROUP BY a""",
 }
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p8_found, p8_items, p9_mix, p9_shares, p9_whole_mix, p9_whole_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p8_found, p8_items, p8_near, p9_mix, p9_shares, p9_whole_mix, p9_whole_shares, p10_found)}
