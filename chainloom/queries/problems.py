@@ -90,7 +90,7 @@ cyc AS (SELECT w.tbl, w.node, min(r.node) AS root, -1 AS depth FROM walk w JOIN
 """
 
 _ROLLING = f"""WITH {sql.CELLS},
-span AS (SELECT address, min(day) AS lo, max(day) + 29 AS hi FROM cells GROUP BY address),
+span AS (SELECT address, min(day) AS lo, greatest(max(day) + 29, (SELECT max(day) FROM cells)) AS hi FROM cells GROUP BY address),
 grid AS (SELECT address, CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM span),
 t AS (SELECT g.address, g.day, sum(CASE WHEN c.day > g.day - 7 THEN c.s ELSE 0 END) AS s7, sum(coalesce(c.s, 0)) AS s30,
         sum(CASE WHEN c.day > g.day - 7 THEN c.n ELSE 0 END) AS n7, sum(coalesce(c.n, 0)) AS n30

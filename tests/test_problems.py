@@ -109,7 +109,7 @@ def test_large_sums_are_exact(spark):
 
 def test_rolling_against_brute_force(spark):
     r = random.Random(9)
-    data = [(r.choice("ab"), at(r.choice([0, 1, 3, 9, 50, 51, 120]), i), float(r.randrange(-50, 50)), i, 0) for i in range(60)]
+    data = [(r.choice("ab"), at(r.choice([0, 1, 3, 9, 50, 51, 120]), i), float(r.randrange(-50, 50)), i, 0) for i in range(60)] + [("a", at(200), 1.0, 0, 0)]
     data += data[:7]
     daily = {}
     for a, t, v, *_ in set(data):
@@ -118,7 +118,7 @@ def test_rolling_against_brute_force(spark):
     want = {}
     for a in "ab":
         days = sorted(d for x, d in daily if x == a)
-        for d in range(days[0], days[-1] + 30):
+        for d in range(days[0], max(days[-1] + 29, max(d for _, d in daily)) + 1):
             s = [(daily.get((a, e), (0, 0)), e) for e in range(d - 29, d + 1)]
             want[a, str(at(d).date())] = (sum(v for (v, _), e in s if e > d - 7), sum(v for (v, _), _ in s), sum(n for (_, n), e in s if e > d - 7), sum(n for (_, n), _ in s))
     out = rolling.with_averages(rolling.rolling_totals(ledger(spark, data))).collect()
