@@ -59,6 +59,16 @@ def p5_state(spark: SparkSession, d: str) -> DataFrame:
     return changefeed.current_state(table(spark, d, "chain_event"))
 
 
+def p5_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The state after two batches: what had arrived by the middle of the time covered, and the rest."""
+    feed = table(spark, d, "chain_event")
+    seconds = F.unix_seconds(F.col("observed_at").cast("timestamp"))
+    middle = F.broadcast(feed.agg(((F.min(seconds) + F.max(seconds)) / 2).alias("_middle")))  # one row
+    early = F.coalesce(seconds <= F.col("_middle"), F.lit(True))
+    marked = feed.join(middle)
+    return changefeed.current_state(marked.where(early), marked.where(~early))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return rolling.rebounds(table(spark, d, "address_transaction"))
 
@@ -130,11 +140,12 @@ n AS (SELECT height, count(*) AS n FROM v GROUP BY height),
 f AS (SELECT n.height, n.n, CASE WHEN a.h IS NULL OR EXISTS (SELECT 1 FROM v WHERE v.t = 'delete' AND v.height = a.height AND v.h = a.h AND v.s > a.s) THEN '' ELSE a.h END AS hash
       FROM n LEFT JOIN a ON a.height = n.height)
 """) + "SELECT CAST(height AS BIGINT) AS height, hash FROM f WHERE n >= 2",
-    "p5_state": _P5 + "SELECT CAST(height AS BIGINT) AS height, hash, CAST(n AS BIGINT) AS n_events FROM f",
+    "p5_batches": (_STATE := _P5 + "SELECT CAST(height AS BIGINT) AS height, hash, CAST(n AS BIGINT) AS n_events FROM f"),
+    "p5_state": _STATE,
     "p6_found": _ROLLING + "SELECT address, CAST(day AS VARCHAR) AS day FROM t WHERE s7 >= 1000000000 AND s30 <= -10000000000",
     "p6_rolling": _ROLLING + """SELECT address, CAST(day AS VARCHAR) AS day, CAST(s7 AS BIGINT) AS total_short, CAST(s30 AS BIGINT) AS total_long,
 CAST(s7 AS DOUBLE) / 7 AS average_short, CAST(s30 AS DOUBLE) / 30 AS average_long, CAST(n7 AS BIGINT) AS rows_short, CAST(n30 AS BIGINT) AS rows_long FROM t""",
     "p7_found": f"""SELECT DISTINCT {sql.hash_("i.spending_txid")} AS spending_txid, CAST(spending_index AS BIGINT) AS spending_index FROM transaction_input i
 WHERE coinbase IS NULL AND {sql.hash_("i.txid")} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM transaction_output o WHERE {sql.hash_("o.txid")} = {sql.hash_("i.txid")} AND o.n = i.vout)""",
 }
-QUERIES = {f.__name__: f for f in (p1_found, p1_tree, p1_paths, p4_found, p4_daily_sums, p5_found, p5_state, p6_found, p6_rolling, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_tree, p1_paths, p4_found, p4_daily_sums, p5_found, p5_state, p5_batches, p6_found, p6_rolling, p7_found, p7_report)}

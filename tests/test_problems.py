@@ -160,6 +160,22 @@ def test_change_feed_ties_and_missing_sequence(spark):
     assert {(x.height, x.hash) for x in got} == {(1, "z"), (2, "a")}
 
 
+def test_batches_of_files(spark, tmp_path):
+    t = changefeed.EqualityDeletes(spark, str(tmp_path / "t"))
+    state = lambda: {x.height: (x.hash, x.n_events) for x in t.state().collect()}
+    assert state() == {}
+    t.append(feed(spark, [(5, "add", "b", 1), (9, "add", "c", 2), (9, "add", "c", 2)]), 0)
+    assert state() == {1: ("b", 1), 2: ("c", 1)}
+    before = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    t.append(feed(spark, [(4, "add", "a", 1), (9, "add", "c", 2), (10, "delete", "c", 2), (3, "delete", "b", 1)]), 1)  # late, repeated
+    assert state() == {1: ("b", 3), 2: ("", 2)}
+    assert before.items() <= {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}.items()  # nothing was rewritten
+    t.append(feed(spark, [(11, "add", "d", 2)]), 2)
+    t.append(feed(spark, [(11, "add", "d", 2)]), 2)
+    t.append(feed(spark, []), 3)
+    assert state() == {1: ("b", 3), 2: ("d", 3)}
+
+
 INPUT = "spending_txid string, spending_index int, txid string, vout int, coinbase string, n string, level string"
 
 
