@@ -22,7 +22,7 @@ def parent_links(rows: DataFrame, node: Column, parent: Column) -> DataFrame:
     return rows.select(node.alias("node"), parent.alias("parent")).where("node is not null").groupBy("node").agg(F.min("parent").alias("parent"))
 
 
-def _lift(shared: Shared, start: DataFrame, sizes: bool) -> DataFrame:
+def lift(shared: Shared, start: DataFrame, sizes: bool) -> DataFrame:
     """Pointer doubling. start: (node, up), up null at a top. Gives (node, up, top, dist[, size]) with up still not null
     for those that never reach a top.
 
@@ -83,7 +83,7 @@ def hierarchy(links: DataFrame) -> DataFrame:
     links = links.join(names, F.col("node") == F.col("name")).select("id", "parent")
     up = names.select(F.col("id").alias("up"), F.col("name").alias("known"))
     links = shared.table(links.where("parent is not null").join(up, F.col("parent") == F.col("known"), "left").select(F.col("id").alias("node"), "up").unionByName(links.where("parent is null").select(F.col("id").alias("node"), F.lit(None).cast("bigint").alias("up"))))
-    depths = _lift(shared, links, sizes=True)
+    depths = lift(shared, links, sizes=True)
     lost, c = shared.write(depths.where("up is not null").select("node").join(links, "node"))
     cyclic = _cycles(shared, lost, c["rows"]) if c["rows"] else None
 
@@ -93,7 +93,7 @@ def hierarchy(links: DataFrame) -> DataFrame:
     heavy = shared.table(kids.select(F.col("parent").alias("of"), F.col("h.n").alias("heavy"), (-F.col("h.s")).alias("heavy_size"), "kids"))
     tree = tree.join(heavy.select(F.col("heavy").alias("node"), F.lit(True).alias("is_heavy")), "node", "left")
     tree = shared.table(tree.withColumn("is_heavy", F.coalesce("is_heavy", F.lit(False))))
-    placed = _lift(shared, tree.select("node", F.when(F.col("is_heavy"), F.col("parent")).alias("up")), sizes=False)
+    placed = lift(shared, tree.select("node", F.when(F.col("is_heavy"), F.col("parent")).alias("up")), sizes=False)
     tree = shared.table(tree.join(placed.select("node", F.col("top").alias("chain"), F.col("dist").alias("pos")), "node"))
 
     # Chains hang off a node of another chain. In the numbering, the heavy child follows its parent at once; then come

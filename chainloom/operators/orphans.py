@@ -1,16 +1,24 @@
-"""References to records that do not exist (problem 7)."""
+"""References to records that do not exist (problem 7).
+
+The foreign keys followed, child to parent: block to its predecessor, confirmed transaction to a block of its height,
+inputs and outputs to their confirmed transaction, an input to the output it spends, a spent output to the input that
+spends it. A reference is a direct orphan if its target is missing, and an inherited one if its target exists but is an
+orphan itself.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from chainloom.functions.normalise import norm_hash
+from chainloom.operators.hierarchy import lift
 from chainloom.plans.shared import Shared
 
 #: Semi-joins between two written rounds.
-LEVELS_A_ROUND = 2
+LEVELS_A_ROUND = 4
 
 
 def missing(refs: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
@@ -23,109 +31,191 @@ def missing(refs: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
     return refs.where(full).join(targets.select(*keys).where(full), keys, "left_anti").unionByName(refs.where(f"not ({full})"))
 
 
-def input_references(inputs: DataFrame) -> DataFrame:
-    """(spending_txid, spending_index, txid, n): the inputs that name an output (coinbase null, txid not null)."""
-    i = inputs.select(norm_hash(F.col("spending_txid")).alias("spending_txid"), F.col("spending_index").cast("bigint").alias("spending_index"), norm_hash(F.col("txid")).alias("txid"), F.col("vout").cast("bigint").alias("n"), "coinbase")
-    return i.where("coinbase is null and txid is not null").drop("coinbase")
-
-
-def output_keys(outputs: DataFrame) -> DataFrame:
-    return outputs.select(norm_hash(F.col("txid")).alias("txid"), F.col("n").cast("bigint").alias("n"))
+def short_key(c: Column) -> Column:
+    """A hash in half its size: a mark and the bytes that the digits stand for, or a mark and the text of any other key."""
+    h = norm_hash(c)
+    return F.when(h.rlike("^([0-9a-f]{2})+$"), F.concat(F.lit(b"\0"), F.unhex(h))).otherwise(F.concat(F.lit(b"\1"), F.encode(h, "UTF-8")))
 
 
-def orphan_inputs(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
-    """(spending_txid, spending_index, txid, n, level) of direct orphans (level 0): inputs naming a missing output.
-
-    Each distinct reference once. Copies are dropped after the anti join, from the few rows that remain.
-    """
-    return missing(input_references(inputs), output_keys(outputs), ["txid", "n"]).distinct().withColumn("level", F.lit(0))
+def key_text(c: Column) -> Column:
+    rest = F.substring(c, 2, 1 << 30)
+    return F.when(F.substring(c, 1, 1) == F.lit(b"\0"), F.lower(F.hex(rest))).otherwise(F.decode(rest, "UTF-8"))
 
 
-def cascade(refs: DataFrame, direct: DataFrame, parent: str, child: str) -> DataFrame:
-    """The rows of refs that are orphans by inheritance (some are direct orphans as well).
+def cascade(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(id) of all records that are orphans: seeds(id), and whatever refers to one by edges(up, down), to a fixpoint.
 
-    A record `child` with an orphaned reference is an orphan itself, and so are the references to it (`parent`), and so
-    on, to a fixpoint: a frontier of new orphans is carried down by semi-joins until none is new. Each written round
-    takes LEVELS_A_ROUND steps. Records that refer to themselves or to each other end in the fixpoint like all others.
-    Records are numbered first, so that the rounds move numbers; records that refer to nothing can't inherit and get none.
+    A record with a single reference that can matter shares the fate of its parent. Such chains are contracted first, by
+    pointer doubling in rounds logarithmic in their length; the rest is a frontier of new orphans carried down by
+    semi-joins until none is new, LEVELS_A_ROUND steps a written round. Records that refer to themselves or to each other
+    end in the fixpoint like all others. Ids are numbers and not null; edges and seeds may hold repeated rows.
     """
-    spark = refs.sparkSession
-    shared = Shared(spark, "orphans")
-    names = shared.table(refs.select(F.col(child).alias("name")).where("name is not null").distinct().select(F.monotonically_increasing_id().alias("id"), "name"))
-    named = lambda c: names.select(F.col("id").alias(c), F.col("name").alias(f"{c}_name"))
-    pairs = refs.select(F.col(parent).alias("up_name"), F.col(child).alias("down_name")).where("up_name <> down_name").distinct()
-    edges = shared.table(pairs.join(named("up"), "up_name").join(named("down"), "down_name").select("up", "down"))
-    frontier = shared.table(direct.select(F.col(child).alias("name")).distinct().join(names, "name").select("id"))
-    seen = [frontier]
-    while True:
+    spark = edges.sparkSession
+    shared = Shared(spark, "cascade")
+    seeds, s = shared.write(seeds.select("id").distinct())
+    # Records that are orphans already, and references to records that can't become one, need not be followed.
+    open_ = edges.where("up <> down").distinct().join(seeds, F.col("down") == F.col("id"), "left_anti")
+    open_ = shared.table(open_)
+    able = seeds.unionByName(open_.select(F.col("down").alias("id"))).distinct()
+    open_, c = shared.write(open_.join(able, F.col("up") == F.col("id"), "left_semi"))
+    if not c["rows"] or not s["rows"]:
+        return seeds
+    parents = shared.table(open_.groupBy("down").agg(F.min("up").alias("up"), F.count(F.lit(1)).alias("n")))
+    single = parents.where("n = 1").select(F.col("down").alias("node"), "up")
+    through = single.select(F.col("node").alias("p"))
+    start = single.join(through, F.col("up") == F.col("p"), "left").select("node", F.col("p").alias("up"))
+    ends = lift(shared, start, sizes=False).where("up is null").select("node", "top")
+    # A chain that never ends is a ring of records that refer to each other alone: no orphan can reach it.
+    anchors = shared.table(ends.join(single.select(F.col("node").alias("top"), F.col("up").alias("anchor")), "top").select("node", "anchor"))
+    core = open_.join(parents.where("n > 1").select("down"), "down", "left_semi")
+    chained = core.join(single.select(F.col("node").alias("up")), "up", "left_semi").join(anchors.withColumnRenamed("node", "up"), "up").select(F.col("anchor").alias("up"), "down")
+    core, c = shared.write(core.join(single.select(F.col("node").alias("up")), "up", "left_anti").select("up", "down").unionByName(chained).distinct())
+    frontier, seen = seeds, [seeds]
+    while c["rows"]:
         steps = [frontier]
         for _ in range(LEVELS_A_ROUND):
-            steps.append(edges.join(steps[-1], F.col("up") == F.col("id"), "left_semi").select(F.col("down").alias("id")).distinct())
+            steps.append(core.join(steps[-1], F.col("up") == F.col("id"), "left_semi").select(F.col("down").alias("id")).distinct())
         fresh = reduce(DataFrame.unionByName, steps[1:]).distinct()
-        known = spark.read.schema("id bigint").parquet(*(shared.paths[id(t)] for t in seen))
-        frontier, counts = shared.write(fresh.join(known, "id", "left_anti"))
+        frontier, counts = shared.write(fresh.join(reduce(DataFrame.unionByName, seen), "id", "left_anti"))
         if not counts["rows"]:
             break
         seen.append(frontier)
-    tainted = known.join(names, "id").select(F.col("name").alias(parent))
-    return refs.join(tainted, parent, "left_semi")
+    known = reduce(DataFrame.unionByName, seen)
+    return shared.table(known.unionByName(anchors.join(known, F.col("anchor") == F.col("id"), "left_semi").select(F.col("node").alias("id"))))
+
+
+@dataclass
+class Records:
+    """The records by number: names(id, key); inputs(sid, spending_index, ref, tid, n), ref where it names an output;
+    outputs(tid, n, sid, spending_index), sid where it is marked as spent; confirmed(id, height)."""
+
+    names: DataFrame
+    inputs: DataFrame
+    outputs: DataFrame
+    confirmed: DataFrame | None
+
+
+def encode(shared: Shared, inputs: DataFrame, outputs: DataFrame, transactions: DataFrame | None = None) -> Records:
+    """Every txid gets a number once, so that all later joins move numbers. Each distinct record is kept once."""
+    named = (F.col("coinbase").isNull()) & F.col("txid").isNotNull()
+    i = inputs.select(short_key(F.col("spending_txid")).alias("s"), F.col("spending_index").cast("bigint").alias("spending_index"), F.when(named, short_key(F.col("txid"))).alias("t"), F.when(named, F.col("vout").cast("bigint")).alias("n"))
+    o = outputs.select(short_key(F.col("txid")).alias("t"), F.col("n").cast("bigint").alias("n"), short_key(F.col("spending_txid")).alias("s"), F.col("spending_index").cast("bigint").alias("spending_index"))
+    keys = [df.select(F.explode(F.array("s", "t")).alias("key")) for df in (i, o)]
+    c = None if transactions is None else transactions.select(short_key(F.col("txid")).alias("t"), F.col("height").cast("bigint").alias("height"))
+    if c is not None:
+        keys.append(c.select(F.col("t").alias("key")))
+    names = shared.table(reduce(DataFrame.unionByName, keys).where("key is not null").distinct().select(F.monotonically_increasing_id().alias("id"), "key"))
+
+    def numbered(df: DataFrame, key: str, to: str) -> DataFrame:
+        """A null key gets a value of its own, matching nothing, so that all null keys don't meet in one task."""
+        rest = [x for x in df.columns if x != key]
+        own = F.coalesce(key, F.concat(F.lit(b"\2"), F.xxhash64(*rest).cast("string").cast("binary")))
+        return df.withColumn(key, own).join(names.select(F.col("id").alias(to), F.col("key").alias(key)), key, "left").drop(key)
+
+    i = numbered(numbered(i, "s", "sid"), "t", "tid").select("sid", "spending_index", F.col("tid").isNotNull().alias("ref"), "tid", "n")
+    o = numbered(numbered(o, "t", "tid"), "s", "sid").select("tid", "n", "sid", "spending_index")
+    c = None if c is None else shared.table(numbered(c, "t", "id").where("id is not null").select("id", "height").distinct())
+    return Records(names, shared.table(i.distinct()), shared.table(o.distinct()), c)
 
 
 def orphans(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     """(spending_txid, spending_index, txid, n, direct, inherited) of every input that is an orphan, each distinct reference
-    once: direct if its output is missing, inherited if it spends an output of a transaction with an orphaned input."""
-    shared = Shared(inputs.sparkSession, "orphans")
-    refs = input_references(inputs).distinct()
-    direct = shared.table(orphan_inputs(inputs, outputs).drop("level"))
-    tainted = cascade(refs, direct, "txid", "spending_txid")
-    key = ["spending_txid", "spending_index", "txid", "n"]
-    both = direct.join(tainted.select("txid").distinct().withColumn("inherited", F.lit(True)), "txid", "left")
-    both = both.select(*key, F.lit(True).alias("direct"), F.coalesce("inherited", F.lit(False)).alias("inherited"))
-    same = reduce(lambda x, y: x & y, (F.col(f"t.{k}").eqNullSafe(F.col(f"d.{k}")) for k in key))
-    only = tainted.alias("t").join(direct.alias("d"), same, "left_anti").select(*key, F.lit(False).alias("direct"), F.lit(True).alias("inherited"))
-    return both.unionByName(only)
+    once: direct if its output is missing, inherited if it spends an output of a transaction with an orphaned input.
 
-
-def periods(transactions: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(txid, period): the month (UTC) of the block that holds a transaction; of several blocks the earliest month."""
-    b = blocks.select("height", F.date_format(F.date_from_unix_date(F.floor(F.col("time") / 86400).cast("int")), "yyyy-MM").alias("period")).where("height is not null and period is not null")
-    b = b.groupBy("height").agg(F.min("period").alias("period"))
-    t = transactions.select("height", norm_hash(F.col("txid")).alias("txid")).where("txid is not null and height is not null")
-    return t.join(b, "height").groupBy("txid").agg(F.min("period").alias("period"))
+    Inputs with a coinbase or without a txid refer to nothing. An output that is stored later than its spender exists.
+    Empty tables have no orphans of their own; inputs all are if there are no outputs. Extra columns are ignored.
+    """
+    shared = Shared(inputs.sparkSession, "orphans")
+    r = encode(shared, inputs, outputs)
+    refs = r.inputs.where("ref")
+    direct = shared.table(missing(refs, r.outputs, ["tid", "n"]))
+    gone = cascade(refs.where("sid is not null").select(F.col("tid").alias("up"), F.col("sid").alias("down")), direct.where("sid is not null").select(F.col("sid").alias("id")))
+    gone = gone.select(F.col("id").alias("tid"), F.lit(True).alias("inherited"))
+    both = direct.withColumn("direct", F.lit(True)).join(gone, "tid", "left")
+    # Inputs whose output exists are the others; what they spend decides about them.
+    have = r.outputs.where("tid is not null and n is not null").select("tid", "n").distinct()
+    only = refs.join(gone, "tid").join(have, ["tid", "n"], "left_semi").withColumn("direct", F.lit(False))
+    cols = ["sid", "spending_index", "tid", "n", "direct", F.coalesce("inherited", F.lit(False)).alias("inherited")]
+    found = both.select(*cols).unionByName(only.select(*cols))
+    of = lambda i, t: r.names.select(F.col("id").alias(i), key_text(F.col("key")).alias(t))
+    return found.join(of("sid", "spending_txid"), "sid", "left").join(of("tid", "txid"), "tid").select("spending_txid", "spending_index", "txid", "n", "direct", "inherited")
+
+
+def _month(seconds: str) -> Column:
+    return F.date_format(F.date_from_unix_date(F.floor(F.col(seconds) / 86400).cast("int")), "yyyy-MM")
+
+
+def block_orphans(shared: Shared, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows(id, prev, height, period), orphans(id)) of blocks by number; id is null for a row without hash, prev where no
+    predecessor is named or none of that name exists, which `dangling` tells apart."""
+    b = blocks.select(short_key(F.col("hash")).alias("h"), short_key(F.col("previousblockhash")).alias("p"), F.col("height").cast("bigint").alias("height"), _month("time").alias("period"))
+    names = shared.table(b.select("h").where("h is not null").distinct().select(F.monotonically_increasing_id().alias("id"), "h"))
+    rows = b.where("h is not null").join(names, "h").unionByName(b.where("h is null").withColumn("id", F.lit(None).cast("bigint")))
+    rows = rows.join(names.select(F.col("id").alias("prev"), F.col("h").alias("p")), "p", "left").select("id", "prev", F.col("p").isNotNull().alias("named"), "p", "height", "period")
+    rows = shared.table(rows)
+    known = rows.where("id is not null and named")
+    gone = cascade(known.where("prev is not null").select(F.col("prev").alias("up"), F.col("id").alias("down")), known.where("prev is null").select("id"))
+    return rows, gone
 
 
 def report(inputs: DataFrame, outputs: DataFrame, transactions: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(tbl, refers_to, period, refs, direct, inherited) of every table with references; period is null where the row's
-    block is unknown.
+    """(tbl, refers_to, period, refs, direct, inherited) of every foreign key; period is the month (UTC) of the row's block,
+    null where that is unknown. direct and inherited exclude each other.
 
-    transaction_input names transaction_output, transaction_output names the transaction_input that spends it,
-    confirmed_transaction names a block by height, and block names its predecessor. Only the first can be inherited:
-    an input that spends an output of a transaction with an orphaned input.
+    A block is an orphan if its predecessor is missing or an orphan, and so on down the chain. A confirmed transaction is
+    one if there is no block of its height, or none that isn't an orphan. A transaction is one if it has no sound confirmed
+    row, or an input that spends a missing output or one of an orphaned transaction; its inputs and outputs share that.
+    A marker of a spent output is direct if that input is missing, inherited if its transaction is an orphan.
     """
-    month = F.date_format(F.date_from_unix_date(F.floor(F.col("time") / 86400).cast("int")), "yyyy-MM").alias("period")
-    when = Shared(inputs.sparkSession, "orphans").table(periods(transactions, blocks))
-    no, yes = F.lit(0), F.lit(1)
-
-    def counted(tbl: str, to: str, rows: DataFrame, gone: DataFrame, key: str | None) -> DataFrame:
-        """Rows of the report: every reference counts once, and once more what it is an orphan by."""
-        dated = lambda df: df if key is None else df.join(when.withColumnRenamed("txid", key), key, "left")
-        if "direct" not in gone.columns:
-            gone = gone.withColumn("direct", F.lit(True))
-        every = dated(rows).select("period", yes.alias("refs"), no.alias("direct"), no.alias("inherited"))
-        orphan = dated(gone).select("period", no.alias("refs"), F.col("direct").cast("int").alias("direct"), (~F.col("direct")).cast("int").alias("inherited"))
-        return every.unionByName(orphan).select(F.lit(tbl).alias("tbl"), F.lit(to).alias("refers_to"), "*")
-
-    refs = input_references(inputs).distinct()
-    marks = outputs.select(norm_hash(F.col("spending_txid")).alias("spending_txid"), F.col("spending_index").cast("bigint").alias("spending_index"), norm_hash(F.col("txid")).alias("txid"), F.col("n").cast("bigint").alias("n")).where("spending_txid is not null").distinct()
-    known = inputs.select(norm_hash(F.col("spending_txid")).alias("spending_txid"), F.col("spending_index").cast("bigint").alias("spending_index"))
-    held = transactions.select(norm_hash(F.col("txid")).alias("txid"), "height").where("txid is not null and height is not null").distinct()
-    chain = blocks.select(norm_hash(F.col("hash")).alias("hash"), norm_hash(F.col("previousblockhash")).alias("prev"), month).where("hash is not null and prev is not null")
-    chain = chain.groupBy("hash", "prev").agg(F.min("period").alias("period"))
-    rows = [
-        counted("transaction_input", "transaction_output", refs, orphans(inputs, outputs), "spending_txid"),
-        counted("transaction_output", "transaction_input", marks, missing(marks, known, ["spending_txid", "spending_index"]), "txid"),
-        counted("confirmed_transaction", "block", held, missing(held, blocks, ["height"]), "txid"),
-        counted("block", "block", chain, missing(chain, chain.select(F.col("hash").alias("prev")), ["prev"]), None),
+    shared = Shared(inputs.sparkSession, "orphans")
+    rows, gone_blocks = block_orphans(shared, blocks)
+    flag = lambda df, name, to: df.select(F.col("id").alias(name), F.lit(True).alias(to))
+    heights = rows.where("height is not null").join(flag(gone_blocks, "id", "bad"), "id", "left").groupBy("height").agg(F.max(F.col("bad").isNull()).alias("sound"), F.min("period").alias("period"))
+    heights = shared.table(heights)
+
+    r = encode(shared, inputs, outputs, transactions)
+    held = shared.table(r.confirmed.where("height is not null").join(heights, "height", "left").select("id", "height", "sound", "period").unionByName(r.confirmed.where("height is null").select("id", "height", F.lit(True).alias("sound"), F.lit(None).cast("string").alias("period"))))
+    refs = r.inputs.where("ref")
+    targets = r.outputs.where("tid is not null and n is not null").select("tid", "n").distinct().withColumn("there", F.lit(True))
+    refs = shared.table(refs.join(targets, ["tid", "n"], "left").select("sid", "tid", F.col("there").isNull().alias("direct")))
+    known = held.groupBy("id").agg(F.max(F.coalesce("sound", F.lit(False))).alias("sound"), F.min("period").alias("period"))
+    known = shared.table(known)
+    seeds = r.names.select("id").join(known.where("sound").select("id"), "id", "left_anti").unionByName(refs.where("direct and sid is not null").select(F.col("sid").alias("id")))
+    gone = cascade(refs.where("not direct and sid is not null").select(F.col("tid").alias("up"), F.col("sid").alias("down")), seeds)
+    tx = known.select("id", "period", F.lit(True).alias("there")).join(flag(gone, "id", "bad"), "id", "full").select("id", "period", F.coalesce("there", F.lit(False)).alias("there"), F.coalesce("bad", F.lit(False)).alias("bad"))
+    tx = shared.table(tx)
+    of = lambda name: tx.select(F.col("id").alias(name), "period", "there", "bad")
+    bad = tx.where("bad").select("id")
+
+    def counted(tbl: str, to: str, per: DataFrame) -> DataFrame:
+        sums = [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("refs", "direct", "inherited")]
+        return per.groupBy("period").agg(*sums).select(F.lit(tbl).alias("tbl"), F.lit(to).alias("refers_to"), "period", *("refs", "direct", "inherited")).where("refs > 0")
+
+    def flagged(df: DataFrame, by: str) -> DataFrame:
+        """Sums of references by their transaction first, then by its period."""
+        n = lambda c: F.sum(F.col(c).cast("int")).alias(c)
+        sums = df.groupBy(by).agg(F.count(F.lit(1)).alias("refs"), n("direct"), n("inherited"))
+        return sums.join(of(by).select(by, "period"), by, "left")
+
+    def belonging(df: DataFrame, by: str) -> DataFrame:
+        """References to the transaction `by` that a record is part of."""
+        sums = df.groupBy(by).agg(F.count(F.lit(1)).alias("refs")).join(of(by), by, "left")
+        there, gone_ = F.coalesce("there", F.lit(False)), F.coalesce("bad", F.lit(False))
+        return sums.select("period", "refs", F.when(~there, F.col("refs")).alias("direct"), F.when(there & gone_, F.col("refs")).alias("inherited"))
+
+    spent = refs.join(flag(bad, "tid", "bad"), "tid", "left").select("sid", "direct", (~F.col("direct") & F.col("bad").isNotNull()).alias("inherited"))
+    marks = r.outputs.where("sid is not null")
+    spenders = r.inputs.where("sid is not null and spending_index is not null").select("sid", "spending_index").distinct().withColumn("there", F.lit(True))
+    marks = marks.join(spenders, ["sid", "spending_index"], "left").join(flag(bad, "sid", "bad"), "sid", "left").select("tid", F.col("there").isNull().alias("direct"), (F.col("there").isNotNull() & F.col("bad").isNotNull()).alias("inherited"))
+    confirmed = held.where("height is not null").select("period", F.lit(1).alias("refs"), F.col("sound").isNull().cast("int").alias("direct"), F.coalesce(~F.col("sound"), F.lit(False)).cast("int").alias("inherited"), "id")
+    chain = rows.where("id is not null and named").groupBy("id", "p", "prev").agg(F.min("period").alias("period"))
+    chain = chain.join(flag(gone_blocks, "prev", "bad"), "prev", "left").select("period", F.lit(1).alias("refs"), F.col("prev").isNull().cast("int").alias("direct"), F.col("bad").isNotNull().cast("int").alias("inherited"))
+    tables = [
+        counted("transaction_input", "transaction_output", flagged(spent, "sid")),
+        counted("transaction_input", "confirmed_transaction", belonging(r.inputs.where("sid is not null").select("sid", "spending_index").distinct(), "sid")),
+        counted("transaction_output", "transaction_input", flagged(marks, "tid")),
+        counted("transaction_output", "confirmed_transaction", belonging(r.outputs.where("tid is not null").select("tid", "n").distinct(), "tid")),
+        counted("confirmed_transaction", "block", confirmed.drop("period").join(of("id").select("id", "period"), "id", "left").drop("id")),
+        counted("block", "block", chain),
     ]
-    counts = [F.sum(c).cast("bigint").alias(c) for c in ("refs", "direct", "inherited")]
-    return reduce(DataFrame.unionByName, (r.groupBy("tbl", "refers_to", "period").agg(*counts) for r in rows))
+    return reduce(DataFrame.unionByName, tables)

@@ -108,21 +108,26 @@ t AS (SELECT g.address, g.day, sum(CASE WHEN c.day > g.day - 7 THEN c.s ELSE 0 E
 """
 
 _H = sql.hash_
-_REPORT = f"""WITH RECURSIVE r AS (SELECT DISTINCT {_H("spending_txid")} AS s, spending_index AS i, {_H("txid")} AS t, vout AS n FROM transaction_input WHERE coinbase IS NULL AND {_H("txid")} IS NOT NULL),
-o AS (SELECT DISTINCT {_H("txid")} AS t, n FROM transaction_output),
-d AS (SELECT *, NOT EXISTS (SELECT 1 FROM o WHERE o.t = r.t AND o.n = r.n) AS direct FROM r),
-bad AS (SELECT DISTINCT s AS x FROM d WHERE direct AND s IS NOT NULL UNION SELECT r.s FROM bad JOIN r ON r.t = bad.x WHERE r.s IS NOT NULL AND r.s <> r.t),
-m AS (SELECT height, hash, previousblockhash AS prev, strftime(make_timestamp(time * 1000000), '%Y-%m') AS period FROM block),
-w AS (SELECT {_H("txid")} AS t, min(p) AS period FROM confirmed_transaction JOIN (SELECT height, min(period) AS p FROM m WHERE height IS NOT NULL AND period IS NOT NULL GROUP BY height) USING (height) WHERE txid IS NOT NULL GROUP BY 1),
-known AS (SELECT DISTINCT {_H("spending_txid")} AS s, spending_index AS i FROM transaction_input),
-k AS (SELECT DISTINCT {_H("spending_txid")} AS s, spending_index AS i, {_H("txid")} AS t, n FROM transaction_output WHERE {_H("spending_txid")} IS NOT NULL),
-c AS (SELECT DISTINCT {_H("txid")} AS t, height FROM confirmed_transaction WHERE txid IS NOT NULL AND height IS NOT NULL),
-b AS (SELECT {_H("hash")} AS h, {_H("prev")} AS p, min(period) AS period FROM m WHERE {_H("hash")} IS NOT NULL AND {_H("prev")} IS NOT NULL GROUP BY 1, 2),
-u AS (SELECT 'transaction_input' AS tbl, 'transaction_output' AS refers_to, w.period, direct AS d, NOT direct AND d.t IN (SELECT x FROM bad) AS i FROM d LEFT JOIN w ON w.t = d.s
-  UNION ALL SELECT 'transaction_output', 'transaction_input', w.period, NOT EXISTS (SELECT 1 FROM known WHERE known.s = k.s AND known.i = k.i), FALSE FROM k LEFT JOIN w ON w.t = k.t
-  UNION ALL SELECT 'confirmed_transaction', 'block', w.period, NOT EXISTS (SELECT 1 FROM m WHERE m.height = c.height), FALSE FROM c LEFT JOIN w ON w.t = c.t
-  UNION ALL SELECT 'block', 'block', period, NOT EXISTS (SELECT 1 FROM b b2 WHERE b2.h = b.p), FALSE FROM b)
-SELECT tbl, refers_to, period, count(*) AS refs, CAST(sum(CAST(d AS INTEGER)) AS BIGINT) AS direct, CAST(sum(CAST(i AS INTEGER)) AS BIGINT) AS inherited FROM u GROUP BY tbl, refers_to, period"""
+_REPORT = f"""WITH RECURSIVE i AS (SELECT DISTINCT {_H("spending_txid")} AS s, spending_index AS i, CASE WHEN coinbase IS NULL THEN {_H("txid")} END AS t, CASE WHEN coinbase IS NULL AND {_H("txid")} IS NOT NULL THEN vout END AS n FROM transaction_input),
+o AS (SELECT DISTINCT {_H("txid")} AS t, n, {_H("spending_txid")} AS s, spending_index AS i FROM transaction_output),
+c AS (SELECT DISTINCT {_H("txid")} AS t, height FROM confirmed_transaction WHERE {_H("txid")} IS NOT NULL),
+m AS (SELECT {_H("hash")} AS h, {_H("previousblockhash")} AS p, height, strftime(make_timestamp(time * 1000000), '%Y-%m') AS period FROM block),
+b AS (SELECT h, p, min(period) AS period FROM m WHERE h IS NOT NULL AND p IS NOT NULL GROUP BY 1, 2),
+lost AS (SELECT h AS x FROM b WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.h = b.p) UNION SELECT b.h FROM lost JOIN b ON b.p = lost.x),
+hs AS (SELECT height, bool_or(h IS NULL OR h NOT IN (SELECT x FROM lost)) AS sound, min(period) AS period FROM m WHERE height IS NOT NULL GROUP BY height),
+ch AS (SELECT c.t, c.height, hs.height IS NOT NULL AS there, coalesce(hs.sound, c.height IS NULL) AS sound, hs.period FROM c LEFT JOIN hs ON hs.height = c.height),
+w AS (SELECT t, bool_or(sound) AS sound, min(period) AS period FROM ch GROUP BY t),
+r AS (SELECT i.*, NOT EXISTS (SELECT 1 FROM o WHERE o.t = i.t AND o.n = i.n) AS direct FROM i WHERE t IS NOT NULL),
+x AS (SELECT t FROM c UNION SELECT s FROM i WHERE s IS NOT NULL UNION SELECT t FROM o WHERE t IS NOT NULL),
+bad AS (SELECT t AS x FROM x WHERE t NOT IN (SELECT t FROM w WHERE sound) UNION SELECT s FROM r WHERE direct AND s IS NOT NULL UNION SELECT r.s FROM bad JOIN r ON r.t = bad.x WHERE r.s IS NOT NULL),
+u AS (SELECT 'transaction_input' AS tbl, 'transaction_output' AS refers_to, s AS k, CAST(NULL AS VARCHAR) AS own, direct AS d, t IN (SELECT x FROM bad) AS i FROM r
+  UNION ALL SELECT 'transaction_input', 'confirmed_transaction', s, NULL, s NOT IN (SELECT t FROM c), s IN (SELECT x FROM bad) FROM (SELECT DISTINCT s, i FROM i WHERE s IS NOT NULL)
+  UNION ALL SELECT 'transaction_output', 'transaction_input', t, NULL, NOT EXISTS (SELECT 1 FROM i WHERE i.s = o.s AND i.i = o.i), s IN (SELECT x FROM bad) FROM o WHERE s IS NOT NULL
+  UNION ALL SELECT 'transaction_output', 'confirmed_transaction', t, NULL, t NOT IN (SELECT t FROM c), t IN (SELECT x FROM bad) FROM (SELECT DISTINCT t, n FROM o WHERE t IS NOT NULL)
+  UNION ALL SELECT 'confirmed_transaction', 'block', t, NULL, NOT there, NOT sound FROM ch WHERE height IS NOT NULL
+  UNION ALL SELECT 'block', 'block', NULL, period, NOT EXISTS (SELECT 1 FROM m WHERE m.h = b.p), b.p IN (SELECT x FROM lost) FROM b),
+v AS (SELECT tbl, refers_to, coalesce(own, w.period) AS period, d, NOT d AND i AS i FROM u LEFT JOIN w ON w.t = u.k)
+SELECT tbl, refers_to, period, count(*) AS refs, CAST(sum(CAST(d AS INTEGER)) AS BIGINT) AS direct, CAST(sum(CAST(i AS INTEGER)) AS BIGINT) AS inherited FROM v GROUP BY tbl, refers_to, period"""
 
 SQL = {
     "p7_report": _REPORT,

@@ -177,32 +177,65 @@ def test_batches_of_files(spark, tmp_path):
 
 
 INPUT = "spending_txid string, spending_index int, txid string, vout int, coinbase string, n string, level string"
+OUTPUT = "txid string, n int, id string, spending_txid string, spending_index int"
 
 
-def test_orphans_and_cascade(spark):
+def test_direct_orphans(spark):
     ins = [("t1", 0, "gone", 0, None), ("0xT1", 0, "GONE", 0, None), ("t2", 0, "t1", 0, None), ("t3", 0, "t2", 0, None), ("t4", 0, "ok", 0, None), ("t5", 0, None, 0, None), ("t6", 0, "ok", None, None), ("t7", 0, "gone", 0, "03ff"), ("t8", 0, "t8", 0, None), (None, 1, "gone", 9, None)]
     outs = [("t1", 0), ("t2", 0), ("OK ", 0), ("t8", 0), (None, 0), ("t9", None)]
     i = spark.createDataFrame([(*x, "a", "b") for x in ins], INPUT)
-    o = spark.createDataFrame([(*x, "q") for x in outs], "txid string, n int, level string")
-    direct = orphans.orphan_inputs(i, o)
-    assert {(x.spending_txid, x.spending_index) for x in direct.collect()} == {("t1", 0), ("t6", 0), (None, 1)}
-    assert direct.count() == 3
-    refs = orphans.input_references(i).distinct()
-    assert {x.spending_txid for x in orphans.cascade(refs, direct, "txid", "spending_txid").collect()} == {"t2", "t3"}
-    assert orphans.orphan_inputs(i.limit(0), o).count() == 0
-    assert orphans.orphan_inputs(i, o.limit(0)).count() == 7  # t1 once, t2, t3, t4, t6, t8 and the one without a txid
+    o = spark.createDataFrame([(*x, "q", None, None) for x in outs], OUTPUT)
+    found = orphans.orphans(i, o).collect()
+    assert {(x.spending_txid, x.spending_index) for x in found if x.direct} == {("t1", 0), ("t6", 0), (None, 1)}
+    assert {x.spending_txid for x in found if x.inherited} == {"t2", "t3"} and len(found) == 5
+    assert orphans.orphans(i.limit(0), o).count() == 0
+    assert orphans.orphans(i, o.limit(0)).where("direct").count() == 7  # t1 once, t2, t3, t4, t6, t8 and the one without a txid
+
+
+def test_keys_keep_every_spelling(spark):
+    texts = ["ab", "0AB", "abc", "0abc", "zz", "a b", "00", "0x00", "", None, "ÿ", "ab" * 40]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(orphans.norm_hash(F.col("t")).alias("h"), orphans.short_key(F.col("t")).alias("k"))
+    got = got.select("h", "k", orphans.key_text(F.col("k")).alias("back")).collect()
+    assert all(r.h == r.back for r in got) and len({bytes(r.k) for r in got if r.k}) == len({r.h for r in got if r.h})
 
 
 def test_orphan_flags(spark):
     ins = [("t1", 0, "gone", 0, None), ("t2", 0, "t1", 0, None), ("t2", 1, "t1", 7, None), ("t3", 0, "t2", 0, None), ("t4", 0, "ok", 0, None), ("T3 ", 0, "t2", 0, None)]
     i = spark.createDataFrame([(*x, "a", "b") for x in ins], INPUT)
-    o = spark.createDataFrame([("t1", 0), ("t2", 0), ("ok", 0)], "txid string, n int")
+    o = spark.createDataFrame([("t1", 0, "q", None, None), ("t2", 0, "q", None, None), ("ok", 0, "q", None, None)], OUTPUT)
     got = sorted((x.spending_txid, x.spending_index, x.direct, x.inherited) for x in orphans.orphans(i, o).collect())
     assert got == [("t1", 0, True, False), ("t2", 0, False, True), ("t2", 1, True, True), ("t3", 0, False, True)]
     assert orphans.orphans(i.limit(0), o).count() == 0
 
 
-def test_cascade_runs_to_the_end_of_long_chains(spark):
-    refs = spark.createDataFrame([(f"t{k + 1}", k, f"t{k}", 0) for k in range(30)], "spending_txid string, spending_index int, txid string, n int")
-    direct = refs.where("txid = 't0'")
-    assert orphans.cascade(refs, direct, "txid", "spending_txid").count() == 29
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_cascade_against_brute_force(spark, seed):
+    r = random.Random(seed)
+    edges = {(k, k + 1) for k in range(60)} | {(r.randrange(200), r.randrange(100, 260)) for _ in range(120)} | {(300, 301), (301, 302), (302, 300), (302, 303), (400, 400)}
+    seeds = {0} if seed == 1 else {r.randrange(150) for _ in range(4)}
+    bad, fresh = set(seeds), set(seeds)
+    while fresh:
+        fresh = {b for a, b in edges if a in fresh} - bad
+        bad |= fresh
+    e = spark.createDataFrame([*edges, *list(edges)[:20]], "up bigint, down bigint")
+    s = spark.createDataFrame([(x,) for x in [*seeds, *seeds]], "id bigint")
+    got = [x.id for x in orphans.cascade(e, s).collect()]
+    assert sorted(got) == sorted(bad)
+    assert orphans.cascade(e, s.limit(0)).count() == 0 and orphans.cascade(e.limit(0), s).count() == len(seeds)
+
+
+def test_report_of_small_tables(spark):
+    i = spark.createDataFrame([("a1", 0, "nowhere", 0, None, "", ""), ("a2", 0, "a1", 0, None, "", ""), ("a3", 0, None, None, "03", "", ""), ("a4", 0, "a3", 0, None, "", "")], INPUT)
+    o = spark.createDataFrame([("a1", 0, "", "a2", 0), ("a2", 0, "", "a9", 0), ("a3", 0, "", "a4", 0), ("a4", 0, "", None, None)], OUTPUT)
+    t = spark.createDataFrame([(1, 1, "a1"), (1, 2, "a2"), (2, 0, "a3"), (7, 0, "a4")], "height int, tx_n int, txid string")
+    b = spark.createDataFrame([("b0", None, 0, 1), ("b1", "b0", 1, 1), ("b2", "b1", 2, 1), ("c8", "gone", 8, 1), ("c9", "c8", 9, 1), ("d", "d", None, None)], "hash string, previousblockhash string, height int, time bigint")
+    got = {(x.tbl, x.refers_to, x.period): (x.refs, x.direct, x.inherited) for x in orphans.report(i, o, t, b).collect()}
+    m = "1970-01"
+    assert got == {
+        ("transaction_input", "transaction_output", m): (2, 1, 1), ("transaction_input", "transaction_output", None): (1, 0, 0),
+        ("transaction_input", "confirmed_transaction", m): (3, 0, 2), ("transaction_input", "confirmed_transaction", None): (1, 0, 1),
+        ("transaction_output", "transaction_input", m): (3, 1, 2), ("transaction_output", "confirmed_transaction", m): (3, 0, 2), ("transaction_output", "confirmed_transaction", None): (1, 0, 1),
+        ("confirmed_transaction", "block", m): (3, 0, 0), ("confirmed_transaction", "block", None): (1, 1, 0),
+        ("block", "block", m): (4, 1, 1), ("block", "block", None): (1, 0, 0),
+    }
+    assert orphans.report(*(x.limit(0) for x in (i, o, t, b))).count() == 0
