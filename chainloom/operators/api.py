@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chainloom.functions.normalise import clean, norm_address, norm_hash, sats
 from chainloom.operators.changefeed import current_state
-from chainloom.operators.hierarchy import hierarchy, parent_links
+from chainloom.operators.hierarchy import ends_of, parent_links
 from chainloom.plans.paging import DEFAULT_LIMIT, page
 from chainloom.sources.tables import table
 
@@ -156,8 +156,8 @@ def address_balances(s: Store, address: str) -> DataFrame:
 
 def wallets(s: Store) -> DataFrame:
     """(address, cluster_id): the end of each address' parent pointers."""
-    tree = hierarchy(s.union_find.select("node", F.when(F.col("parent") != F.col("node"), F.col("parent")).alias("parent")))
-    return tree.select(F.col("node").alias("address"), F.col("root").alias("cluster_id"))
+    ends = ends_of(s.union_find.select("node", F.when(F.col("parent") != F.col("node"), F.col("parent")).alias("parent")))
+    return ends.select(F.col("node").alias("address"), F.col("root").alias("cluster_id"))
 
 
 def cluster_addresses(members: DataFrame, cluster_id: str, limit: int = DEFAULT_LIMIT, cursor: dict | None = None) -> DataFrame:

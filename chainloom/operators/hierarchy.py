@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from chainloom.plans.shared import Shared
 
-#: Children of one parent are numbered in this many parts, so that no task numbers all children of a hot parent.
-SIBLING_PARTS = 64
+#: The children of one parent are numbered in parts of about so many, so that no task numbers all children of a hot parent.
+SIBLINGS = 1000
+#: Positions of one numbering that meet in a task when descendants are looked up by interval.
+SPAN = 4096
 
 
 def parent_links(rows: DataFrame, node: Column, parent: Column) -> DataFrame:
@@ -41,7 +43,7 @@ def lift(shared: Shared, start: DataFrame, sizes: bool) -> DataFrame:
         moved = act.join(at, F.col("up") == F.col("at")).select("node", F.col("next").alias("up"), F.col("at_top").alias("top"), (F.col("dist") + F.col("more")).alias("dist"), "size")
         new = moved.unionByName(done)
         if sizes:  # one aggregate instead of a join: the row of a node, and what is added to its size
-            added = act.select(F.col("up").alias("node"), *(F.lit(None).cast("bigint").alias(k) for k in ("up", "top", "dist")), "size")
+            added = act.select(F.col("up").alias("node"), *(F.lit(None).cast(new.schema[k].dataType).alias(k) for k in ("up", "top", "dist")), "size")
             new = new.unionByName(added).groupBy("node").agg(*(F.max(k).alias(k) for k in ("up", "top", "dist")), F.sum("size").alias("size"))
         new, c = shared.write(new, active=F.col("up").isNotNull())
         shared.forget(state)
@@ -51,6 +53,19 @@ def lift(shared: Shared, start: DataFrame, sizes: bool) -> DataFrame:
     return state
 
 
+def ends_of(links: DataFrame) -> DataFrame:
+    """(node, root) of links(node, parent), node unique: the root of each node, or the smallest node of the cycle that its
+    path runs into. Only pointer doubling, for callers that need neither paths nor descendants."""
+    shared = Shared(links.sparkSession, "ends")
+    links = shared.table(links.select("node", "parent"))
+    known = links.select(F.col("node").alias("up"))
+    start = shared.table(links.where("parent is not null").join(known, F.col("parent") == F.col("up"), "left").select("node", "up").unionByName(links.where("parent is null").select("node", F.col("parent").alias("up"))))
+    ends = lift(shared, start, sizes=False)
+    lost, c = shared.write(ends.where("up is not null").select("node").join(start, "node"))
+    out = ends.where("up is null").select("node", F.col("top").alias("root"))
+    return out.unionByName(_cycles(shared, lost, c["rows"]).select("node", F.col("smallest").alias("root"))) if c["rows"] else out
+
+
 def _cycles(shared: Shared, links: DataFrame, count: int) -> DataFrame:
     """(node, smallest), numbers: of nodes whose paths never end, the smallest node of the cycle the path runs into."""
     state = shared.table(links.select("node", F.col("up"), F.col("node").alias("low")))
@@ -87,7 +102,7 @@ def hierarchy(links: DataFrame) -> DataFrame:
     lost, c = shared.write(depths.where("up is not null").select("node").join(links, "node"))
     cyclic = _cycles(shared, lost, c["rows"]) if c["rows"] else None
 
-    tree = shared.table(depths.where("up is null").select("node", F.col("top").alias("root"), F.col("dist").alias("depth"), "size").join(links.withColumnRenamed("up", "parent"), "node"))
+    tree = shared.table(depths.where("up is null").select("node", F.col("dist").alias("depth"), "size").join(links.withColumnRenamed("up", "parent"), "node"))
     # The heavy child of each parent, smallest name on ties; the others hang off as tops of their own chains.
     kids = tree.where("parent is not null").groupBy("parent").agg(F.min(F.struct((-F.col("size")).alias("s"), F.col("node").alias("n"))).alias("h"), F.count(F.lit(1)).alias("kids"))
     heavy = shared.table(kids.select(F.col("parent").alias("of"), F.col("h.n").alias("heavy"), (-F.col("h.s")).alias("heavy_size"), "kids"))
@@ -99,7 +114,7 @@ def hierarchy(links: DataFrame) -> DataFrame:
     # Chains hang off a node of another chain. In the numbering, the heavy child follows its parent at once; then come
     # the subtrees of the other children, by part and name.
     light = tree.where("not is_heavy and parent is not null").select("node", "parent", "size").join(heavy.select(F.col("of").alias("parent"), "heavy_size", "kids"), "parent")
-    light = light.withColumn("part", F.when(F.col("kids") > 1000, F.pmod(F.xxhash64("node"), F.lit(SIBLING_PARTS))).otherwise(F.lit(0)))
+    light = light.withColumn("part", F.pmod(F.xxhash64("node"), 1 + F.floor(F.col("kids") / SIBLINGS)))
     parts = light.groupBy("parent", "part").agg(F.sum("size").alias("part_size"))
     before = F.sum("part_size").over(W.partitionBy("parent").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     parts = parts.select("parent", "part", F.coalesce(before, F.lit(0)).alias("ahead"))
@@ -111,8 +126,10 @@ def hierarchy(links: DataFrame) -> DataFrame:
     chains = _concatenate(shared, hung.unionByName(tops))
 
     own = F.struct(F.col("chain").alias("chain"), F.col("pos").alias("last"))
-    out = tree.join(chains.select(F.col("node").alias("chain"), "start", "path"), "chain").select(
-        "node", "parent", "root", "depth", (F.col("size") - 1).alias("descendants"), "chain", "pos", F.concat("path", F.array(own)).alias("path"), (F.col("start") + F.col("pos")).alias("first"), (F.col("start") + F.col("pos") + F.col("size") - 1).alias("last")
+    out = tree.join(chains.select(F.col("node").alias("chain"), "start", "path"), "chain").withColumn("path", F.concat("path", F.array(own)))
+    # A chain has the number of its top; the top of the first chain on a path is the root.
+    out = out.select(
+        "node", "parent", F.col("path")[0]["chain"].alias("root"), "depth", (F.col("size") - 1).alias("descendants"), "chain", "pos", "path", (F.col("start") + F.col("pos")).alias("first"), (F.col("start") + F.col("pos") + F.col("size") - 1).alias("last")
     )
     if cyclic is not None:
         out = out.unionByName(lost.join(cyclic, "node").select("node", F.col("up").alias("parent"), F.col("smallest").alias("root"), F.lit(-1).cast("bigint").alias("depth")), allowMissingColumns=True)
@@ -142,7 +159,15 @@ def path_nodes(tree: DataFrame, wanted: DataFrame) -> DataFrame:
     return segments.join(on, "chain").where("pos <= upto").select("node", "step", "ancestor")
 
 
-def descendants_of(tree: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, descendant) of wanted(node), from the intervals."""
-    asked = tree.join(wanted.select("node").distinct(), "node", "left_semi").select(F.col("node"), "root", F.col("first").alias("lo"), F.col("last").alias("hi"))
-    return asked.join(tree.select("root", "first", F.col("node").alias("descendant")), "root").where("first > lo and first <= hi").select("node", "descendant")
+def descendants_of(tree: DataFrame, wanted: DataFrame, span: int = SPAN) -> DataFrame:
+    """(node, descendant) of wanted(node), from the intervals.
+
+    The numbering of each root is cut into spans, and an interval asks for those it touches: of the pairs that the join on
+    (root, span) makes, only some in the first and last span of an interval aren't descendants, also where all nodes have
+    one root.
+    """
+    asked = tree.join(wanted.select("node").distinct(), "node", "left_semi").where("last > first").select("node", "root", F.col("first").alias("lo"), F.col("last").alias("hi"))
+    at = lambda c: F.floor(F.col(c) / span)
+    asked = asked.withColumn("span", F.explode(F.sequence(at("lo"), at("hi"))))
+    below = tree.where("depth >= 0").select("root", "first", F.col("node").alias("descendant"), at("first").alias("span"))
+    return asked.join(below, ["root", "span"]).where("first > lo and first <= hi").select("node", "descendant")

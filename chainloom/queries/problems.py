@@ -25,8 +25,9 @@ def _bare(c: str):
 
 
 def p1_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The number of descendants is the length of their interval."""
     t = hierarchy.hierarchy(_links(spark, d))
-    return t.select(F.substring_index("node", ":", 1).alias("tbl"), _bare("node").alias("node"), _bare("root").alias("root"), "depth", F.coalesce("descendants", F.lit(-1)).alias("descendants"))
+    return t.select(F.substring_index("node", ":", 1).alias("tbl"), _bare("node").alias("node"), _bare("root").alias("root"), "depth", F.coalesce(F.col("last") - F.col("first"), F.lit(-1)).alias("descendants"))
 
 
 def p1_paths(spark: SparkSession, d: str) -> DataFrame:
