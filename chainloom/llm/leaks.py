@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -11,21 +13,24 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from chainloom.llm.words import Encoded, spread, words
+from chainloom.plans.shared import Shared
 
-WINDOW = 12
-RADIUS = 2
-#: Items whose windows are held by a worker at once; more items are searched for in several such blocks.
-ITEMS_A_BLOCK = 20_000
-#: Word positions hashed at once in a worker, and characters of text taken together.
-POSITIONS = 1 << 15
-CHARS = 1 << 23
-FOUND = "doc_id bigint, item_id bigint, windows bigint, similarity double, run_words bigint"
+#: The smallest leak in words, the words of a shingle, the least weighted similarity of windows.
+WINDOW, SHINGLE, LEAST = 12, 5, 0.8
+#: Standard deviations by which the radius exceeds the expected distance of windows of the least similarity.
+MARGIN = 1.8
+#: Characters of items held by the workers at once; more items are searched for in several passes over the corpus.
+CHARS_A_PASS = 600_000
+#: Word positions hashed and pairs compared at once in a worker, and characters of text taken together.
+POSITIONS, PAIRS, CHARS = 1 << 15, 1 << 22, 1 << 23
+FOUND = "doc_id bigint, item_id bigint, size int, windows bigint, similarity double, run_words bigint"
 
 
 def shingles(e: Encoded) -> np.ndarray:
-    """A 64-bit hash of each word and its successor (the last one is meaningless)."""
-    h = e.hashes[e.codes]
-    x = h * np.uint64(0x9E3779B97F4A7C15) + np.roll(h, -1)
+    """A 64-bit hash of each word and the SHINGLE - 1 words after it (meaningless at the end of a text)."""
+    h, x = e.hashes[e.codes], np.zeros(len(e.codes), np.uint64)
+    for k in range(SHINGLE):
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + np.roll(h, -k)
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
@@ -37,9 +42,10 @@ def simhash(f: np.ndarray, n: int) -> np.ndarray:
     A shingle that occurs twice counts twice, which is the weight. Sums of 2, 4, 8, ... neighbours are built by doubling.
     """
     out = np.empty(max(0, len(f) - n + 1), np.uint64)
+    kind = np.uint8 if n < 256 else np.uint32
     for at in range(0, len(out), POSITIONS):
         end = min(at + POSITIONS, len(out))
-        power, length = np.unpackbits(f[at : end + n - 1].view(np.uint8).reshape(-1, 8), axis=1), 1
+        power, length = np.unpackbits(f[at : end + n - 1].view(np.uint8).reshape(-1, 8), axis=1).astype(kind, copy=False), 1
         total, covered, left = None, 0, n
         while left:
             if left & 1:
@@ -52,62 +58,89 @@ def simhash(f: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def radius(n: int, least: float) -> int:
+    """Bits within which fingerprints of n shingles are searched for.
+
+    Windows of similarity `least` differ in at most k of their n shingles (0 if only equal ones are that similar). Their
+    bits differ with probability arccos(1 - k / n) / pi; MARGIN standard deviations are added.
+    """
+    k = n - math.ceil(2 * n * least / (1 + least) - 1e-9)
+    p = math.acos(1 - k / n) / math.pi
+    return min(64, math.ceil(64 * p + MARGIN * math.sqrt(64 * p * (1 - p))))
+
+
+class Blocks:
+    """Multi-index over fingerprints: all pairs within `radius` bits are found.
+
+    The 64 bits are cut into blocks so many that one of them differs in at most two bits, by the pigeonhole principle (in
+    none with radius 0). Each fingerprint is filed, for each block, under all keys so near to its own.
+    """
+
+    def __init__(self, prints: np.ndarray, radius: int):
+        self.prints, self.radius, self.tables = prints, radius, []
+        cuts = np.linspace(0, 64, radius // 3 + 2).astype(int)
+        for lo, hi in zip(cuts, cuts[1:]):
+            width, errors = int(hi - lo), radius // (len(cuts) - 1)
+            flips = np.array([sum(1 << b for b in c) for e in range(errors + 1) for c in combinations(range(width), e)], np.uint64)
+            keys = (self.keys(prints, int(lo), width)[:, None] ^ flips).ravel()
+            order = np.argsort(keys, kind="stable")
+            self.tables.append((int(lo), width, keys[order], (order // len(flips)).astype(np.int32)))
+
+    @staticmethod
+    def keys(prints: np.ndarray, lo: int, width: int) -> np.ndarray:
+        return (prints >> np.uint64(lo)) & np.uint64((1 << width) - 1)
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs (position in prints, filed fingerprint) that differ in at most radius bits."""
+        found = [np.empty(0, np.int64)]
+        for lo, width, keys, filed in self.tables:
+            mine = self.keys(prints, lo, width)
+            first, last = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
+            ends = np.cumsum(last - first)
+            at = 0
+            while at < len(mine):
+                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+                n = last[at:end] - first[at:end]
+                pos = np.repeat(np.arange(at, end), n)
+                other = filed[np.arange(len(pos)) + np.repeat(first[at:end] - (np.cumsum(n) - n), n)]
+                close = np.bitwise_count(prints[pos] ^ self.prints[other]) <= self.radius
+                found.append(pos[close] * len(self.prints) + other[close])
+                at = end
+        pairs = np.unique(np.concatenate(found))
+        return pairs // max(1, len(self.prints)), pairs % max(1, len(self.prints))
+
+
 @dataclass
-class Index:
-    """Windows of the items: fingerprints, shingle and word rows, and per block of bits the sorted keys."""
+class Windows:
+    """Windows of one size of the items: where they lie, their shingles, the index of their fingerprints."""
 
+    size: int
     item: np.ndarray
     at: np.ndarray
-    prints: np.ndarray
     shingle: np.ndarray
-    word: np.ndarray
-    vocabulary: pa.Array
-    window: int
-    radius: int
-    blocks: list[tuple[int, int, np.ndarray, np.ndarray]]
-
-
-def _fields(x: Index) -> tuple:
-    return tuple(getattr(x, f.name) for f in fields(x))
-
-
-def build_index(items: list[tuple[int, list[str]]], window: int, radius: int) -> Index:
-    e = Encoded([w for _, w in items])
-    start = np.arange(max(0, len(e.codes) - window + 1))
-    owner = np.searchsorted(e.offsets, start, side="right") - 1
-    keep = start + window <= e.offsets[owner + 1] if len(start) else start.astype(bool)
-    start, owner = start[keep], owner[keep]
-    f = shingles(e) if len(e.codes) else np.empty(0, np.uint64)
-    prints = simhash(f, window - 1)[start] if len(start) else np.empty(0, np.uint64)
-    cuts = np.linspace(0, 64, radius + 2).astype(int)
-    blocks = []
-    for lo, hi in zip(cuts, cuts[1:]):
-        keys = (prints >> np.uint64(lo)) & np.uint64((1 << int(hi - lo)) - 1)
-        order = np.argsort(keys, kind="stable")
-        blocks.append((int(lo), int(hi - lo), keys[order], order))
-    ids = np.array([i for i, _ in items], np.int64)
-    cell = start[:, None]
-    return Index(ids[owner] if len(owner) else np.empty(0, np.int64), start, prints, f[cell + np.arange(window - 1)], e.codes[cell + np.arange(window)], e.vocabulary, window, radius, blocks)
-
-
-def candidates(prints: np.ndarray, x: Index, maps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (position, item window) whose fingerprints differ in at most radius bits.
-
-    Fingerprints that differ in so few bits agree on at least one of radius + 1 blocks of bits, so the pairs that agree on
-    a block contain all of them.
-    """
-    found = []
-    for (lo, width, keys, order), seen in zip(x.blocks, maps):
-        mine = (prints >> np.uint64(lo)) & np.uint64((1 << width) - 1)
-        pos = np.flatnonzero(seen[(mine & np.uint64(len(seen) - 1)).astype(np.int64)])
-        first, last = np.searchsorted(keys, mine[pos], "left"), np.searchsorted(keys, mine[pos], "right")
-        n = last - first
-        p = np.repeat(pos, n)
-        w = order[np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else first, n) + np.arange(len(p))] if len(p) else np.empty(0, np.int64)
-        near = np.bitwise_count(prints[p] ^ x.prints[w]) <= x.radius
-        found.append(p[near].astype(np.int64) * len(x.prints) + w[near])
-    pairs = np.unique(np.concatenate(found))
-    return pairs // len(x.prints), pairs % len(x.prints)
+    blocks: Blocks
+
+
+class Index:
+    """The windows of the items. Those of the smallest size lie at every word; the sizes then double, up to the size of the
+    longest item, and those windows lie half their size apart and at an item's end. bits marks the shingles of all items."""
+
+    def __init__(self, items: list[tuple[int, list[str]]], window: int, least: float):
+        e = self.words = Encoded([w for _, w in items])
+        ids, f = np.array([i for i, _ in items], np.int64), shingles(e) if len(e.codes) else np.empty(0, np.uint64)
+        longest = max((len(w) for _, w in items), default=0)
+        self.sizes, size = [], window
+        while size <= longest:
+            step, n = 1 if size == window else size // 2, size - SHINGLE + 1
+            spans = [(i, a, b) for i, (a, b) in enumerate(zip(e.offsets, e.offsets[1:])) if b - a >= size]
+            start = [np.unique(np.append(np.arange(a, b - size + 1, step), b - size)) for _, a, b in spans]
+            owner = np.repeat([i for i, _, _ in spans], [len(s) for s in start])
+            start = np.concatenate(start)
+            self.sizes.append(Windows(size, ids[owner], start, f[start[:, None] + np.arange(n)], Blocks(simhash(f, n)[start], radius(n, least))))
+            size *= 2
+        used = np.unique(np.concatenate([w.shingle.ravel() for w in self.sizes])) if self.sizes else f[:0]
+        self.bits = np.zeros(1 << min(26, max(16, len(used).bit_length() + 9)), bool)
+        self.bits[(used & np.uint64(len(self.bits) - 1)).astype(np.int64)] = True
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -123,45 +156,69 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return same / (2 * n - same)
 
 
-def _search(ids: np.ndarray, texts: list[list[str]], x: Index, maps: list[np.ndarray], least: float) -> Iterator[tuple]:
-    e = Encoded(texts)
-    if len(e.codes) < x.window or not len(x.prints):
-        return
-    f = shingles(e)
-    pos, win = candidates(simhash(f, x.window - 1), x, maps)
+def alike(e: Encoded, f: np.ndarray, hits: np.ndarray, w: Windows, x: Index, least: float) -> tuple[np.ndarray, ...]:
+    """(text, position, item window, similarity) of the windows of some texts that are like a window of an item.
+
+    A window without a single shingle of any item has similarity 0 to all of them and gets no fingerprint.
+    """
+    n = w.size - SHINGLE + 1
+    none = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.float64))
+    if len(f) < w.size:
+        return none
+    any_ = hits[n:] > hits[:-n]
+    pos = np.flatnonzero(any_)
     doc = np.searchsorted(e.offsets, pos, side="right") - 1
-    inside = pos + x.window <= e.offsets[doc + 1]
-    pos, win, doc = pos[inside], win[inside], doc[inside]
+    inside = pos + w.size <= e.offsets[doc + 1]
+    pos, doc = pos[inside], doc[inside]
     if not len(pos):
-        return
-    like = similarity(f[pos[:, None] + np.arange(x.window - 1)], x.shingle[win])
+        return none
+    # Only the shingles of these windows are hashed; each window is a contiguous piece of what is left.
+    cover = np.zeros(len(f) + 1, np.int32)
+    np.add.at(cover, pos, 1)
+    np.add.at(cover, pos + n, -1)
+    cover = np.cumsum(cover[:-1]) > 0
+    prints = simhash(f[cover], n)[(np.cumsum(cover) - 1)[pos]]
+    k, win = w.blocks.near(prints)
+    like = np.empty(len(k))
+    for at in range(0, len(k), POSITIONS):
+        p, q = pos[k[at : at + POSITIONS]], win[at : at + POSITIONS]
+        like[at : at + POSITIONS] = similarity(f[p[:, None] + np.arange(n)], w.shingle[q])
     ok = like >= least
-    pos, win, doc, like = pos[ok], win[ok], doc[ok], like[ok]
-    code = pc.fill_null(pc.index_in(e.vocabulary, x.vocabulary), -1).to_numpy(zero_copy_only=False)[e.codes]
-    equal = (code[pos[:, None] + np.arange(x.window)] == x.word[win]).all(axis=1)
-    # Equal windows that follow each other in the document and in the item are one run.
-    item, place = x.item[win], x.at[win]
-    order = np.lexsort((pos, place - pos, item, doc))
-    pos, win, doc, like, equal, item, place = (v[order] for v in (pos, win, doc, like, equal, item, place))
-    new = np.ones(len(pos), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | ((place - pos)[1:] != (place - pos)[:-1]) | (pos[1:] != pos[:-1] + 1) | ~equal[1:] | ~equal[:-1]
-    begin = np.maximum.accumulate(np.where(new, np.arange(len(pos)), 0))
-    run = np.where(equal, np.arange(len(pos)) - begin + x.window, 0)
-    pair = np.ones(len(pos), bool)
-    pair[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
-    at = np.flatnonzero(pair)
-    if len(at):
-        n = np.diff(np.concatenate([at, [len(pos)]]))
-        yield ids[doc[at]], item[at], n, np.maximum.reduceat(like, at), np.maximum.reduceat(run, at)
-
-
-def _searcher(shared, least: float):
+    return doc[k[ok]], pos[k[ok]], win[ok], like[ok]
+
+
+def _search(ids: np.ndarray, texts: list[list[str]], x: Index, least: float) -> Iterator[tuple]:
+    e = Encoded(texts)
+    if len(e.codes) < SHINGLE or not x.sizes:
+        return
+    f = shingles(e)
+    hits = np.concatenate([[0], np.cumsum(x.bits[(f & np.uint64(len(x.bits) - 1)).astype(np.int64)])])
+    code = pc.fill_null(pc.index_in(e.vocabulary, x.words.vocabulary), -1).to_numpy(zero_copy_only=False)[e.codes]
+    for w in x.sizes:
+        doc, pos, win, like = alike(e, f, hits, w, x, least)
+        if not len(doc):
+            continue
+        cells = np.arange(w.size)
+        equal = (code[pos[:, None] + cells] == x.words.codes[w.at[win][:, None] + cells]).all(axis=1)
+        # Equal windows that follow each other in the document and in the item are one run.
+        item, place = w.item[win], w.at[win]
+        order = np.lexsort((pos, place - pos, item, doc))
+        pos, like, equal, item, place, doc = (v[order] for v in (pos, like, equal, item, place, doc))
+        new = np.ones(len(pos), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | ((place - pos)[1:] != (place - pos)[:-1]) | (pos[1:] != pos[:-1] + 1) | ~equal[1:] | ~equal[:-1]
+        begin = np.maximum.accumulate(np.where(new, np.arange(len(pos)), 0))
+        run = np.where(equal, np.arange(len(pos)) - begin + w.size, 0)
+        pair = np.ones(len(pos), bool)
+        pair[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
+        at = np.flatnonzero(pair)
+        n = np.diff(np.append(at, len(pos)))
+        yield ids[doc[at]], item[at], np.full(len(at), w.size), n, np.maximum.reduceat(like, at), np.maximum.reduceat(run, at)
+
+
+def _searcher(held, window: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, maps = Index(*shared.value), []
-        for _, width, keys, _ in x.blocks:
-            seen = np.zeros(1 << min(width, 22), bool)
-            seen[(keys & np.uint64(len(seen) - 1)).astype(np.int64)] = True
-            maps.append(seen)
+        x = Index(held.value, window, least)
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int64())
         for b in batches:
             ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
             at = 0
@@ -172,36 +229,44 @@ def _searcher(shared, least: float):
                     t = texts[at].as_py()
                     part.append(words(t))
                     chars, at = chars + len(t), at + 1
-                for cols in _search(ids[first:at], part, x, maps, least):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()))], ["doc_id", "item_id", "windows", "similarity", "run_words"])
+                for cols in _search(ids[first:at], part, x, least):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "item_id", "size", "windows", "similarity", "run_words"])
 
     return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, radius: int = RADIUS, least: float = 0.8) -> DataFrame:
-    """(doc_id, item_id, windows, similarity, run_words): documents that hold windows of an item (passage, then question).
+def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, least: float = LEAST) -> DataFrame:
+    """(doc_id, item_id, size, windows, similarity, run_words): documents that hold windows of an item (passage, then
+    question), one row for each size of windows.
+
+    The windows of the items have `window` words and two, four, ... times as many, up to the size of the item. Every window
+    of every document that shares a shingle of five words with any item gets a SimHash of its shingles. Multi-index blocks
+    give all pairs of fingerprints within the radius that the size calls for, and those of a weighted shingle similarity of
+    at least `least` are kept. Equal windows have equal fingerprints, so every shared run of `window` words is found;
+    windows that are only alike are found as far as their fingerprints are within the radius, which more than 0.9 are.
+    windows counts the pairs of windows, similarity is their best, run_words the longest run of words equal in both (0
+    without an equal window). Null and short texts match nothing; extra columns are ignored.
 
-    Every run of `window` words of every document gets a SimHash over its word pairs and is held against those of the
-    items: pairs of fingerprints within `radius` bits are found by multi-index blocks, none is missed, and are kept if
-    their weighted shingle similarity is at least `least`. Equal runs have equal fingerprints, so every shared run of
-    window words is found. windows counts the pairs of windows, similarity is their best, run_words the longest run of
-    words equal in both (0 without an equal window). Null and short texts match nothing; extra columns are ignored.
-    Texts never leave their partition: the fingerprints of a block of items are broadcast (ITEMS_A_BLOCK bounds them),
-    those of the corpus exist only inside a worker.
+    Texts never leave their partition. The items are broadcast: those of a pass hold about CHARS_A_PASS characters. A
+    single pass is lazy; of several, each is written before the next one's items are sent.
     """
     spark = documents.sparkSession
     wanted = items.select(F.col("item_id").cast("bigint"), "passage", "question").where("item_id is not null")
-    blocks = max(1, -(-wanted.count() // ITEMS_A_BLOCK))
+    size = F.coalesce(F.length("passage"), F.lit(0)) + F.coalesce(F.length("question"), F.lit(0))
+    passes = max(1, -(-(wanted.agg(F.sum(size)).first()[0] or 0) // CHARS_A_PASS))
     docs = spread(documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).where("text is not null"))
-    out = None
-    for k in range(blocks):
-        part = wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else wanted
-        held = [(r.item_id, words(r.passage) + words(r.question)) for r in part.collect()]
-        found = docs.mapInArrow(_searcher(spark.sparkContext.broadcast(_fields(build_index(held, window, radius))), least), FOUND)
+    shared, out = Shared(spark, "leaks"), None
+    for k in range(passes):
+        part = wanted.where(F.pmod(F.xxhash64("item_id", "passage"), F.lit(passes)) == k) if passes > 1 else wanted
+        held = spark.sparkContext.broadcast([(r.item_id, words(r.passage) + words(r.question)) for r in part.collect()])
+        found = docs.mapInArrow(_searcher(held, window, least), FOUND)
+        if passes > 1:
+            found = shared.table(found)
+            held.destroy()
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def leaked_passages(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, item_id) of documents with at least `window` consecutive words of an item, each pair once."""
-    return leaks(documents, items, window, least=1.0).where(F.col("run_words") >= window).select("doc_id", "item_id").distinct()
+    return leaks(documents, items, window).where(F.col("run_words") >= window).select("doc_id", "item_id").distinct()

@@ -24,16 +24,17 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
     """Which items leaked: into how many documents, and the longest run of words."""
     items = table(spark, d, "eval_item")
-    found = leaks.leaks(table(spark, d, "documents"), items, least=1.0).where(F.col("run_words") >= leaks.WINDOW)
+    found = leaks.leaks(table(spark, d, "documents"), items).where(F.col("run_words") >= leaks.WINDOW)
     found = found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.max("run_words").alias("longest_run"))
     return found.join(items.select("item_id", "benchmark", "split").dropDuplicates(["item_id"]), "item_id").select("item_id", "benchmark", "split", "documents", "longest_run")
 
 
 def p8_near(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs with at least one window of an item, equal (exact, the longest run in run_words) or only alike."""
+    """Pairs with at least one window like one of an item: equal ones (exact, the longest run in run_words) or only near
+    ones, with the largest size of such windows and the best similarity at any size."""
     found = leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
-    pairs = found.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.max("run_words").alias("run_words"))
-    return pairs.select("doc_id", "item_id", (F.col("run_words") >= leaks.WINDOW).alias("exact"), "similarity", "run_words")
+    pairs = found.groupBy("doc_id", "item_id").agg(F.max("size").alias("size"), F.max("similarity").alias("similarity"), F.max("run_words").alias("run_words"))
+    return pairs.select("doc_id", "item_id", (F.col("run_words") >= leaks.WINDOW).alias("exact"), "size", "similarity", "run_words")
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:

@@ -82,18 +82,58 @@ def test_simhash_and_blocks_find_all_near_fingerprints():
         want = [(bits[i : i + n].sum(axis=0) > n // 2) for i in range(len(f) - n + 1)]
         got = leaks.simhash(f, n)
         assert all(((int(g) >> b) & 1) == w[b] for g, w in zip(got[::37], want[::37]) for b in range(64))
-    items = [(i, [f"w{r.integers(40)}" for _ in range(30)]) for i in range(20)]
-    for radius in (0, 2, 5):
-        x = leaks.build_index(items, 12, radius)
-        prints = np.concatenate([x.prints[:50] ^ np.uint64(1 << int(r.integers(60))), r.integers(0, 2**63, 200, dtype=np.uint64), x.prints[:20] ^ np.uint64(0b111)])
-        maps = []
-        for _, width, keys, _ in x.blocks:
-            seen = np.zeros(1 << min(width, 22), bool)
-            seen[(keys & np.uint64(len(seen) - 1)).astype(np.int64)] = True
-            maps.append(seen)
-        p, w = leaks.candidates(prints, x, maps)
+    for radius in (0, 2, 5, 14):
+        x = leaks.Blocks(r.integers(0, 2**63, 90, dtype=np.uint64), radius)
+        flipped = [x.prints ^ np.uint64(sum(1 << int(b) for b in r.choice(64, k, replace=False))) for k in (0, 1, radius, radius + 1)]
+        prints = np.concatenate([*flipped, r.integers(0, 2**63, 300, dtype=np.uint64)])
+        p, w = x.near(prints)
         near = np.bitwise_count(prints[:, None] ^ x.prints[None, :]) <= radius
-        assert set(zip(p.tolist(), w.tolist())) == set(zip(*(v.tolist() for v in np.nonzero(near))))
+        assert set(zip(p.tolist(), w.tolist())) == set(zip(*(v.tolist() for v in np.nonzero(near)))) and len(p) >= 180
+
+
+def changed(r, w):
+    """Words with some of them replaced, left out or put in, mostly at the ends."""
+    w = list(w)
+    for _ in range(r.choice([1, 1, 2, 3])):
+        at = r.choice([0, 1, len(w) - 1, len(w) - 2, r.randrange(len(w))])
+        w[at : at + r.choice([0, 1, 1])] = [f"new{r.randrange(99)}"] * r.choice([0, 1, 1])
+    return w
+
+
+def test_recall_of_the_fingerprints():
+    """Of all windows of similarity 0.8 or more by brute force, at least 0.9 have fingerprints within the radius."""
+    from collections import Counter
+
+    r = random.Random(3)
+    items = [(i, [f"w{r.randrange(400)}" for _ in range(r.randrange(50, 130))]) for i in range(40)]
+    x = leaks.Index(items, 12, 0.8)
+    assert [w.size for w in x.sizes] == [12, 24, 48, 96]
+    texts = [["pad"] * 3 + changed(r, w) + ["pad"] * 3 for _ in range(12) for _, w in items]
+    e = leaks.Encoded(texts)
+    f = leaks.shingles(e)
+    hits = np.concatenate([[0], np.cumsum(x.bits[(f & np.uint64(len(x.bits) - 1)).astype(np.int64)])])
+    five = lambda w: [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+    flat = [w for _, ws in items for w in ws]
+    for w in x.sizes:
+        got = set(zip(*(v.tolist() for v in leaks.alike(e, f, hits, w, x, 0.8)[1:3])))
+        bags, where = [Counter(five(flat[a : a + w.size])) for a in w.at.tolist()], defaultdict(list)
+        for k, b in enumerate(bags):
+            for s in b:
+                where[s].append(k)
+        want, n = set(), w.size - 4
+        for d, t in enumerate(texts):
+            s = five(t)
+            for p in range(len(t) - w.size + 1):
+                mine = Counter(s[p : p + n])
+                for k in {k for g in mine for k in where.get(g, ())}:
+                    same = (mine & bags[k]).total()
+                    if same / (2 * n - same) >= 0.8:
+                        want.add((int(e.offsets[d]) + p, k))
+        assert got <= want and len(want) > 100
+        equal = {(p, k) for p, k in want if w.size == 12}
+        assert equal <= got
+        assert len(got) >= 0.9 * len(want), (w.size, len(got) / len(want))
+        print(w.size, len(got) / len(want), len(want))
 
 
 def test_weighted_similarity():
@@ -125,16 +165,16 @@ def test_leaks_against_brute_force(spark):
     want = {(d, i) for d, t, _ in docs for w in [words(t)] for k in range(len(w) - 11) for i in runs.get(tuple(w[k : k + 12]), ())}
     df, it = spark.createDataFrame(docs, "doc_id bigint, text string, item_id string"), spark.createDataFrame(items, "item_id bigint, passage string, question string")
     assert {(x.doc_id, x.item_id) for x in leaks.leaked_passages(df, it).collect()} == want and len(want) > 10
-    whole = leaks.leaks(df, it, least=1.0).where("doc_id = 902 and item_id = 60").first()
+    whole = leaks.leaks(df, it).where("doc_id = 902 and item_id = 60 and size = 12").first()
     assert (whole.run_words, whole.windows, whole.similarity) == (21, 10, 1.0)
     assert leaks.leaked_passages(df.limit(0), it).count() == 0 and leaks.leaked_passages(df, it.limit(0)).count() == 0
 
 
-def test_leaks_in_blocks_of_items(spark, monkeypatch):
+def test_leaks_in_passes(spark, monkeypatch):
     df, it = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/eval_item.parquet")
     key = lambda f: sorted((x.doc_id, x.item_id) for x in f.collect())
     one = key(leaks.leaked_passages(df, it))
-    monkeypatch.setattr(leaks, "ITEMS_A_BLOCK", 90)
+    monkeypatch.setattr(leaks, "CHARS_A_PASS", 60_000)
     assert key(leaks.leaked_passages(df, it)) == one and one
 
 
