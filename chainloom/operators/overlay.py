@@ -45,9 +45,10 @@ def pool_by_address(changes: DataFrame) -> DataFrame:
 
 
 def input_details(inputs: DataFrame, hot_outputs: DataFrame, stored_outputs: DataFrame) -> DataFrame:
-    """inputs(txid, n, ...) with address and value_sats of the output they spend, hot ones first; null if in neither."""
-    h = hot_outputs.select("txid", "n", F.struct("address", "value_sats").alias("_hot")).dropDuplicates(["txid", "n"])
-    s = stored_outputs.select("txid", "n", F.struct("address", "value_sats").alias("_stored")).dropDuplicates(["txid", "n"])
+    """inputs(txid, n, ...) with address and value_sats of the output they spend, hot ones first; null if in neither. Of
+    differing copies of an output the one of the largest address and value counts."""
+    one = lambda df, to: df.groupBy("txid", "n").agg(F.max(F.struct("address", "value_sats")).alias(to))
+    h, s = one(hot_outputs, "_hot"), one(stored_outputs, "_stored")
     j = inputs.join(h, ["txid", "n"], "left").join(s, ["txid", "n"], "left").withColumn("_d", F.coalesce("_hot", "_stored"))
     return j.select(*inputs.columns, "_d.address", "_d.value_sats")
 

@@ -43,10 +43,17 @@ LAYOUTS = {
 }
 
 
+def _last(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """One row a key, as the last upsert leaves it: an aggregate, combined before the shuffle."""
+    rest = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_v")).select(*key, "_v.*")
+
+
 def serving_tables(blocks: DataFrame, clusters: bool = True) -> dict[str, DataFrame]:
     """All tables of LAYOUTS by name, amounts in satoshis, from block documents (see sources.blocks.BLOCK).
 
-    Of several blocks of a height the one of the largest hash counts as written last. clusters=False leaves out the five
+    Of several blocks of a height the one of the largest hash counts as written last; of a transaction, input or output that
+    several blocks repeat, the one of the highest block. clusters=False leaves out the five
     cluster tables, which need an iterative operator and run as soon as this is called.
     """
     c = C.flatten(blocks)
@@ -54,15 +61,16 @@ def serving_tables(blocks: DataFrame, clusters: bool = True) -> dict[str, DataFr
     per_block = C.block_deltas(deltas)
     candle = B.candles(per_block)
     binned = lambda df: df.withColumnRenamed("day", "date").withColumn("bin", bin_of(F.col("address"), 20))
-    ins = blocks.select(F.explode("tx").alias("t")).select(F.col("t.txid").alias("spending_txid"), F.posexplode("t.vin").alias("spending_index", "i")).select("spending_txid", "spending_index", "i.txid", "i.vout", "i.coinbase", "i.sequence", F.col("i.scriptSig").alias("scriptsig"))
-    outs = blocks.select(F.explode("tx").alias("t")).select(F.col("t.txid").alias("txid"), F.explode("t.vout").alias("o")).select("txid", F.col("o.n").alias("n"), C.sats(F.col("o.value")).alias("value_sats"), F.col("o.scriptPubKey").alias("scriptpubkey"))
-    outs = outs.dropDuplicates(["txid", "n"]).join(c.txi.select("txid", "n", "spending_txid", "spending_index").dropDuplicates(["txid", "n"]), ["txid", "n"], "left")
+    ins = blocks.select("height", F.explode("tx").alias("t")).select("height", F.col("t.txid").alias("spending_txid"), F.posexplode("t.vin").alias("spending_index", "i")).select("height", "spending_txid", "spending_index", "i.txid", "i.vout", "i.coinbase", "i.sequence", F.col("i.scriptSig").alias("scriptsig"))
+    outs = blocks.select("height", F.explode("tx").alias("t")).select("height", F.col("t.txid").alias("txid"), F.explode("t.vout").alias("o")).select("height", "txid", F.col("o.n").alias("n"), C.sats(F.col("o.value")).alias("value_sats"), F.col("o.scriptPubKey").alias("scriptpubkey"))
+    spent = _last(c.txi.select("txid", "n", "height", "tx_n", "spending_txid", "spending_index"), ["txid", "n"], ["height", "tx_n"]).drop("height", "tx_n")
+    outs = _last(outs, ["txid", "n"], ["height"]).drop("height").join(spent, ["txid", "n"], "left")
     tables = {
         "block": headers(blocks),
         "longest_chain": blocks.groupBy("height").agg(F.max("hash").alias("hash")),
         "confirmed_transaction": c.tx.select("height", "tx_n", "txid"),
         "transaction": C.latest(c.tx.select("txid", "height", "tx_n", "size", "version", "locktime", "input_count", "output_count").join(C.fees(c).select("txid", "height", "fee_sats"), ["txid", "height"]), ["txid"], ["height", "tx_n"]),
-        "transaction_input": ins.dropDuplicates(["spending_txid", "spending_index"]),
+        "transaction_input": _last(ins, ["spending_txid", "spending_index"], ["height"]).drop("height"),
         "transaction_output": outs,
         "address_transaction": deltas.select("address", F.col("ts").alias("timestamp"), "height", "tx_n", F.col("delta_sats").alias("change_sats")),
         "address_balance": B.running_balances(per_block).select("address", F.col("ts").alias("timestamp"), "balance_sats"),

@@ -7,9 +7,10 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chainloom.functions.normalise import bin_of
-from chainloom.operators import balances as B, chain as C, clusters as K, overlay as V
+from chainloom.operators import api as A, balances as B, chain as C, clusters as K, live as L, overlay as V
 from chainloom.plans.paging import page
-from chainloom.sources.orders import event_deltas, orders_chain
+from chainloom.plans.shared import Shared
+from chainloom.sources.orders import event_deltas, order_blocks, order_live, orders_chain
 from chainloom.sources.tables import table
 
 FIXTURE = """
@@ -69,9 +70,33 @@ def _flat(c: C.Chain, df: DataFrame) -> DataFrame:
     return df.withColumn("address", C.single_address(F.col("addresses"))).drop("addresses")
 
 
-_chain("proj1_transactions", lambda c: c.tx, " SELECT txid, height, tx_n, ts, tx_n = 0 AS is_coinbase FROM tx")
-_chain("proj2_outputs", lambda c: _flat(c, c.txo), " SELECT txid, n, v AS value_sats, a AS address FROM txo")
-_chain("proj3_input_pointers", lambda c: c.txi, " SELECT stx AS spending_txid, si AS spending_index, txid, n FROM spent")
+def _blocks(name: str, run, sql: str) -> None:
+    """Queries over nested block documents, with txids as text."""
+    _add(name, lambda spark, d: _texts(run(C.flatten(order_blocks(spark, d)))), "WITH RECURSIVE" + FIXTURE + sql)
+
+
+_T = "CAST({0} AS VARCHAR) AS {1}".format
+_blocks("proj1_transactions", lambda c: c.tx.drop("version", "locktime"), f""" SELECT {_T("tx.txid", "txid")}, height, tx_n, ts, tx_n = 0 AS is_coinbase, 250 AS size,
+CAST((SELECT count(*) FROM txo p WHERE tx_n <> 0 AND p.txid = tx.prev) AS INTEGER) AS input_count, CAST((SELECT count(*) FROM txo o WHERE o.txid = tx.txid) AS INTEGER) AS output_count FROM tx""")
+_blocks("proj2_outputs", lambda c: _flat(c, c.txo), f" SELECT {_T('txo.txid', 'txid')}, height, tx_n, n, v AS value_sats, a AS address FROM txo JOIN tx ON tx.txid = txo.txid")
+_blocks("proj3_input_pointers", lambda c: c.txi, f" SELECT {_T('stx', 'spending_txid')}, height, tx_n, si AS spending_index, {_T('spent.txid', 'txid')}, n FROM spent JOIN tx ON tx.txid = spent.stx")
+_blocks("j1_spent_outputs_of_blocks", lambda c: _flat(c, C.spent_outputs(c)), f" SELECT {_T('stx', 'spending_txid')}, height, si AS spending_index, {_T('spent.txid', 'txid')}, n, v AS value_sats, a AS address FROM spent JOIN tx ON tx.txid = spent.stx")
+_blocks("j3_fees_of_blocks", C.fees, f""" SELECT {_T("t.txid", "txid")}, t.height, CASE WHEN t.tx_n = 0 THEN 0 ELSE coalesce(i.v, 0) - coalesce(o.v, 0) END::BIGINT AS fee_sats, coalesce(i.k, 0)::BIGINT AS input_count, coalesce(o.k, 0)::BIGINT AS output_count
+FROM tx t LEFT JOIN (SELECT stx, sum(v) AS v, count(*) AS k FROM spent GROUP BY stx) i ON i.stx = t.txid LEFT JOIN (SELECT txid, sum(v) AS v, count(*) AS k FROM txo GROUP BY txid) o ON o.txid = t.txid""")
+
+
+def _latest_outputs(c: C.Chain) -> DataFrame:
+    """Every transaction named by its address' customer instead, so that blocks repeat txids: which output an input spends
+    is then decided by heights."""
+    named = lambda df, *names: df.withColumns({n: F.concat(F.lit("t"), F.pmod(F.col(n).cast("bigint"), F.lit(97))) for n in names})
+    again = C.Chain(named(c.tx, "txid"), named(c.txo, "txid"), named(c.txi, "spending_txid", "txid"))
+    return _flat(again, C.spent_outputs(again)).groupBy("spending_txid", "height", "txid", "n").agg(F.max("value_sats").alias("value_sats"), F.count(F.lit(1)).alias("inputs")).select("spending_txid", "height", "txid", "n", F.col("value_sats").cast("string").alias("value_sats"))
+
+
+_blocks("j1_latest_outputs", _latest_outputs, """, made AS (SELECT 't' || (txo.txid % 97) AS txid, n, height, tx_n, v FROM txo JOIN tx ON tx.txid = txo.txid),
+ask AS (SELECT 't' || (stx % 97) AS s, tx.height, tx.tx_n, si, 't' || (spent.txid % 97) AS txid, n FROM spent JOIN tx ON tx.txid = spent.stx),
+got AS (SELECT s, a.height, si, a.txid, a.n, arg_max(m.v, (m.height, m.tx_n)) AS v FROM ask a LEFT JOIN made m ON m.txid = a.txid AND m.n = a.n AND (m.height < a.height OR m.height = a.height AND m.tx_n < a.tx_n) GROUP BY ALL)
+SELECT s AS spending_txid, height, txid, n, CAST(max(v) AS VARCHAR) AS value_sats FROM got GROUP BY s, height, txid, n""")
 _chain("j1_spent_outputs", lambda c: _flat(c, C.spent_outputs(c)), " SELECT stx AS spending_txid, si AS spending_index, txid, n, v AS value_sats, a AS address FROM spent")
 _chain("j4_spent_marker", lambda c: C.spent_markers(c).withColumns({k: F.col(k).cast("string") for k in ("spending_txid", "spending_index")}), " SELECT o.txid, o.n, CAST(s.stx AS VARCHAR) AS spending_txid, CAST(s.si AS VARCHAR) AS spending_index FROM txo o LEFT JOIN spent s ON s.txid = o.txid AND s.n = o.n")
 _chain("a1_address_deltas", C.address_deltas, " SELECT txid, height, tx_n, ts, a AS address, v AS delta_sats FROM delta")
@@ -88,10 +113,93 @@ _chain("a11_cluster_balances", lambda c: K.cluster_balances(K.cluster_transactio
 _chain("a12_cluster_days", lambda c: K.cluster_days(K.cluster_transactions(c, K.cluster_addresses(c))), COMPONENTS + " SELECT * FROM cday")
 _HASH = "abs(list_reduce(list_prepend(0::BIGINT, list_transform(string_split({0}, ''), lambda x: unicode(x)::BIGINT)), lambda h, c: (((h * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296) - 2147483648))"
 _chain("a14_cluster_sizes", lambda c: K.cluster_sizes(K.cluster_addresses(c)), COMPONENTS + f" SELECT cluster_id, count(*) AS addresses, CAST(any_value({_HASH.format('cluster_id')}) % 100 AS TINYINT) AS bin FROM member GROUP BY cluster_id")
-_chain("g13_cluster_richlist", lambda c: page(K.cluster_balances(K.cluster_transactions(c, K.cluster_addresses(c))).where("balance_sats > 0").select("balance_sats", "cluster_id"), [("balance_sats", False), ("cluster_id", False)], 50, {"balance_sats": 30_000_000_000, "cluster_id": "c5"}),
-       _page_sql(COMPONENTS, "SELECT CAST(sum(change_sats) AS BIGINT) AS balance_sats, cluster_id FROM ctx GROUP BY cluster_id HAVING sum(change_sats) > 0", "balance_sats DESC, cluster_id DESC", 50, "(balance_sats < 30000000000 OR balance_sats = 30000000000 AND cluster_id < 'c5')"))
-_chain("g18_cluster_gainers", lambda c: K.cluster_days(K.cluster_transactions(c, K.cluster_addresses(c))).where("change_sats > 0"), COMPONENTS + " SELECT * FROM cday WHERE change_sats > 0")
-_chain("g19_cluster_losers", lambda c: K.cluster_days(K.cluster_transactions(c, K.cluster_addresses(c))).where("change_sats < 0"), COMPONENTS + " SELECT * FROM cday WHERE change_sats < 0")
+_stored: dict[tuple, A.ClusterStore] = {}
+
+
+def _cluster_store(spark: SparkSession, d: str) -> A.ClusterStore:
+    """The cluster tables, written once a session and sorted by what lookups ask for."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _stored:
+        shared, c = Shared(spark, "cluster-store"), orders_chain(spark, d)
+        put = lambda df, *order: shared.table(df.repartitionByRange(*order).sortWithinPartitions(*order))
+        members = put(K.cluster_addresses(c), "cluster_id", "address")
+        ctx = put(K.cluster_transactions(c, members), "cluster_id", "ts")
+        _stored[key] = A.ClusterStore(members, ctx, put(K.cluster_balances(ctx), "cluster_id"), put(_texts(K.cluster_days(ctx)), "day", "change_sats"), put(c.tx.select("height", "tx_n", "txid"), "height", "tx_n"))
+    return _stored[key]
+
+
+def _clusters(name: str, run, sql: str) -> None:
+    _add(name, lambda spark, d: run(_cluster_store(spark, d)), sql)
+
+
+#: Of all clusters the one with the most transactions, and the day with the most changes; of several the smallest.
+_ASKED = COMPONENTS + """, big AS (SELECT cluster_id AS id FROM ctx GROUP BY cluster_id ORDER BY count(*) DESC, cluster_id LIMIT 1), busy AS (SELECT day FROM cday GROUP BY day ORDER BY count(*) DESC, day LIMIT 1)"""
+_WITH = "WITH RECURSIVE" + FIXTURE + _ASKED
+
+
+def _big(c: A.ClusterStore) -> str:
+    return c.transactions.groupBy("cluster_id").count().orderBy(F.col("count").desc(), "cluster_id").first()[0]
+
+
+def _busy(c: A.ClusterStore) -> str:
+    return c.days.groupBy("day").count().orderBy(F.col("count").desc(), "day").first()[0]
+
+
+_clusters("g13_cluster_richlist", lambda c: A.cluster_rich_list(c, 50, {"balance_sats": 30_000_000_000, "cluster_id": "c5"}),
+          _page_sql(_WITH, "SELECT CAST(sum(change_sats) AS BIGINT) AS balance_sats, cluster_id FROM ctx GROUP BY cluster_id HAVING sum(change_sats) > 0", "balance_sats DESC, cluster_id DESC", 50, "(balance_sats < 30000000000 OR balance_sats = 30000000000 AND cluster_id < 'c5')"))
+_clusters("g18_cluster_gainers", lambda c: A.cluster_gainers(c, _busy(c), 10), _page_sql(_WITH, "SELECT change_sats, cluster_id FROM cday WHERE day = (SELECT day FROM busy) AND change_sats > 0", "change_sats DESC, cluster_id DESC", 10))
+_clusters("g19_cluster_losers", lambda c: A.cluster_losers(c, _busy(c), 10, {"change_sats": -10_000_000_000_000, "cluster_id": ""}), _page_sql(_WITH, "SELECT change_sats, cluster_id FROM cday WHERE day = (SELECT day FROM busy) AND change_sats < 0", "change_sats, cluster_id", 10, "change_sats > -10000000000000"))
+_clusters("g28_cluster_txs", lambda c: A.cluster_transactions(c, _big(c), 7), _page_sql(_WITH, "SELECT ts, height, tx_n, change_sats FROM ctx WHERE cluster_id = (SELECT id FROM big)", "ts DESC, height DESC, tx_n DESC", 7))
+_clusters("g29_cluster_addresses", lambda c: A.cluster_addresses(c.members, _big(c), 2), _page_sql(_WITH, "SELECT address, cluster_id FROM member WHERE cluster_id = (SELECT id FROM big)", "address", 2))
+_clusters("g30_cluster_days", lambda c: A.cluster_days(c, _big(c), 5, {"day": "1992-06-01"}), _page_sql(_WITH, "SELECT day, change_sats FROM cday WHERE cluster_id = (SELECT id FROM big)", "day", 5, "day > '1992-06-01'"))
+_clusters("g31_cluster_details", lambda c: A.cluster_details(c, _big(c)), _WITH + " SELECT cluster_id, CAST(sum(change_sats) AS BIGINT) AS balance_sats, count(*) AS transactions FROM ctx WHERE cluster_id = (SELECT id FROM big) GROUP BY cluster_id")
+_clusters("g32_cluster_confirmed", lambda c: A.confirmed_of(c, c.transactions), _WITH + " SELECT ctx.*, tx.txid FROM ctx LEFT JOIN tx ON tx.height = ctx.height AND tx.tx_n = ctx.tx_n")
+
+LIVE = """, tip AS (SELECT max(height) AS tip FROM tx),
+vis AS (SELECT tx.*, tip - height AS age FROM tx, tip WHERE NOT (tip - height < 3 AND tx_n = 0)),
+pool AS (SELECT txid, CAST(epoch(ts) AS BIGINT) + tx_n AS arrived FROM vis WHERE age < 3),
+pin AS (SELECT s.stx AS txid, CASE WHEN v.txid IS NOT NULL THEN s.v END AS v, CASE WHEN v.txid IS NOT NULL THEN s.a END AS a FROM spent s JOIN pool p ON p.txid = s.stx LEFT JOIN vis v ON v.txid = s.txid),
+det AS (SELECT p.txid, p.arrived, CASE WHEN count(i.v) = count(i.txid) THEN CAST(coalesce(sum(i.v), 0) - any_value(coalesce(o.v, 0)) AS BIGINT) END AS fee_sats, count(i.txid) AS input_count, any_value(coalesce(o.k, 0)) AS output_count
+  FROM pool p LEFT JOIN pin i ON i.txid = p.txid LEFT JOIN (SELECT txid, sum(v) AS v, count(*) AS k FROM txo GROUP BY txid) o ON o.txid = p.txid GROUP BY p.txid, p.arrived),
+pdel AS (SELECT x.txid, p.arrived, x.a AS address, CAST(sum(x.v) AS BIGINT) AS delta_sats FROM (SELECT txid, a, v FROM txo UNION ALL SELECT txid, a, -v FROM pin) x JOIN pool p ON p.txid = x.txid WHERE x.a IS NOT NULL GROUP BY ALL),
+conf AS (SELECT d.a AS address, d.ts, d.height, d.tx_n, d.v AS change_sats, v.age FROM delta d JOIN vis v ON v.txid = d.txid WHERE v.age >= 3),
+cbal AS (SELECT address, ts, CAST(sum(sum(change_sats)) OVER (PARTITION BY address ORDER BY ts) AS BIGINT) AS balance_sats, min(age) AS age FROM conf GROUP BY address, ts),
+asked AS (SELECT address FROM pdel GROUP BY address ORDER BY count(*) DESC, address LIMIT 1),
+warm AS (SELECT address FROM conf WHERE age < 13 GROUP BY address ORDER BY (SELECT count(*) FROM conf c WHERE c.address = conf.address) DESC, address LIMIT 1)"""
+
+
+def _live(name: str, run, sql: str) -> None:
+    _add(name, lambda spark, d: _texts(run(order_live(spark, d))), "WITH RECURSIVE" + FIXTURE + LIVE + sql)
+
+
+def _live_page(name: str, run, *page: object) -> None:
+    _add(name, lambda spark, d: run(order_live(spark, d)), _page_sql("WITH RECURSIVE" + FIXTURE + LIVE, *page))
+
+
+def _asked(v: L.Live) -> str:
+    return L.pool_deltas(v).groupBy("address").count().orderBy(F.col("count").desc(), "address").first()[0]
+
+
+def _warm(v: L.Live) -> str:
+    """Of the addresses in the newest blocks the one with the most transactions."""
+    every = L.hot_deltas(v).select("address", F.lit(1).alias("hot")).unionByName(v.address_transaction.select("address", F.lit(0).alias("hot")))
+    return every.groupBy("address").agg(F.max("hot").alias("hot"), F.count(F.lit(1)).alias("n")).where("hot = 1").orderBy(F.col("n").desc(), "address").first()[0]
+
+
+_text_of = lambda df, *names: df.withColumns({n: F.col(n).cast("string") for n in names})
+_live("g4_mempool", L.pool_totals_of, " SELECT CAST(coalesce(sum(fee_sats), 0) AS BIGINT) AS total_fees_sats, count(*) AS tx_count FROM det")
+_live("a18_pool_details", lambda v: _text_of(L.pool_details(v), "fee_sats"), " SELECT txid, arrived, CAST(fee_sats AS VARCHAR) AS fee_sats, input_count, output_count FROM det")
+_live("a18_pool_deltas", L.pool_deltas, " SELECT * FROM pdel")
+_live("a19_hot_deltas", L.hot_deltas, " SELECT address, ts, height, tx_n, change_sats FROM conf WHERE age < 13")
+_live("a19_hot_balances", L.hot_balances, " SELECT address, ts, balance_sats FROM cbal WHERE age < 13")
+_live_page("g45_pool_page", lambda v: _text_of(L.pool_page(v, 5), "fee_sats"), "SELECT arrived, txid, CAST(fee_sats AS VARCHAR) AS fee_sats, input_count, output_count FROM det", "arrived, txid", 5)
+_live_page("g22_address_pool_page", lambda v: L.address_pool_page(v, _asked(v), 5), "SELECT arrived, txid, delta_sats FROM pdel WHERE address = (SELECT address FROM asked)", "arrived, txid", 5)
+_live("g46_pool_transactions", lambda v: _text_of(L.transactions_of(v, v.pool.inputs.select("spending_txid", "txid")), "state", "height", "tx_n"), """ SELECT s.stx AS spending_txid, s.txid, CASE WHEN v.age < 3 THEN 'pool' WHEN v.age < 13 THEN 'hot' WHEN v.age IS NOT NULL THEN 'stored' END AS state,
+CASE WHEN v.age >= 3 THEN CAST(v.height AS VARCHAR) END AS height, CASE WHEN v.age >= 3 THEN CAST(v.tx_n AS VARCHAR) END AS tx_n FROM spent s JOIN pool p ON p.txid = s.stx LEFT JOIN vis v ON v.txid = s.txid""")
+_live("g47_address_pool_transactions", lambda v: L.transactions_of(v, L.pool_deltas(v).select("txid", "address")).select("txid", "address", "state"), " SELECT txid, address, 'pool' AS state FROM pdel")
+_live_page("l6_address_transactions", lambda v: L.address_transactions(v, _warm(v), 6), "SELECT c.ts, c.height, c.tx_n, c.change_sats, b.balance_sats AS balance_after_sats FROM conf c JOIN cbal b ON b.address = c.address AND b.ts = c.ts WHERE c.address = (SELECT address FROM warm)", "ts DESC, height DESC, tx_n DESC", 6)
+_live_page("l6_address_balances", lambda v: L.address_balances(v, _warm(v), 6), "SELECT ts, balance_sats FROM cbal WHERE address = (SELECT address FROM warm)", "ts DESC", 6)
+_live_page("l5_hot_block_slice", lambda v: L.block_transactions(v, v.hot.tx.agg(F.max("height")).first()[0], 2, {"tx_n": 0}), "SELECT tx_n, txid FROM vis WHERE height = (SELECT tip - 3 FROM tip)", "tx_n", 2, "tx_n > 0")
 _events("w2_running_balances", B.running_balances, " SELECT address, ts, d AS delta_sats, b AS balance_sats FROM bal")
 _events("w3_candles", B.candles, " SELECT address, CAST(day AS VARCHAR) AS day, CAST(open AS BIGINT) AS open, CAST(high AS BIGINT) AS high, CAST(low AS BIGINT) AS low, CAST(close AS BIGINT) AS close FROM candle")
 _events("a7_gainers", lambda e: B.gainers(B.candles(e)), " SELECT CAST(day AS VARCHAR) AS day, address, CAST(close - open AS BIGINT) AS change_sats FROM candle WHERE close > open")

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from chainloom.operators.chain import Chain
+from chainloom.operators.balances import running_balances
+from chainloom.operators.chain import Chain, address_deltas, block_deltas, single_address
+from chainloom.operators.live import Live, Pool
 from chainloom.sources.tables import table
 
 
@@ -26,6 +28,39 @@ def orders_chain(spark: SparkSession, d: str) -> Chain:
     return Chain(tx.select("txid", "height", "tx_n", "ts", "is_coinbase"), txo, txi)
 
 
+def order_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The same ledger as nested block documents, one a date, in the schema of sources.blocks.BLOCK as far as it is used."""
+    c = orders_chain(spark, d)
+    key = F.col("txid").cast("string").alias("txid")
+    value = (F.col("value_sats") / 100_000_000).alias("value")
+    pay = F.struct(value, "n", F.struct(F.lit("").alias("asm"), F.lit("").alias("hex"), F.lit(1).alias("reqSigs"), F.lit("pubkeyhash").alias("type"), "addresses").alias("scriptPubKey"))
+    outs = c.txo.select("txid", "n", pay.alias("o")).groupBy("txid").agg(F.sort_array(F.collect_list(F.struct("n", "o"))).alias("o"))
+    spend = F.struct(F.lit(None).cast("string").alias("coinbase"), F.lit(0).cast("bigint").alias("sequence"), key, F.col("n").alias("vout"))
+    ins = c.txi.select(F.col("spending_txid").alias("txid_"), "spending_index", spend.alias("i")).groupBy("txid_").agg(F.sort_array(F.collect_list(F.struct("spending_index", "i"))).alias("i"))
+    t = c.tx.join(outs, "txid", "left").join(ins, F.col("txid") == F.col("txid_"), "left")
+    whole = F.struct(key, F.lit(250).alias("size"), F.lit(1).cast("bigint").alias("version"), F.lit(0).cast("bigint").alias("locktime"), F.coalesce("i.i", F.array()).alias("vin"), F.coalesce("o.o", F.array()).alias("vout"))
+    b = t.groupBy("height", "ts").agg(F.sort_array(F.collect_list(F.struct("tx_n", whole.alias("t")))).alias("tx"))
+    return b.select(F.concat(F.lit("b"), "height").alias("hash"), "height", F.unix_seconds("ts").alias("time"), F.col("tx.t").alias("tx"))
+
+
+def order_live(spark: SparkSession, d: str, pool_heights: int = 3, hot_heights: int = 10) -> Live:
+    """The newest dates read as a pool of unconfirmed transactions, those before as newest blocks, all others as stored.
+    Coinbases of the pool's dates don't exist."""
+    c = orders_chain(spark, d)
+    tip = F.broadcast(c.tx.agg(F.max("height").alias("tip")))  # one row
+    tx = c.tx.join(tip).withColumn("age", F.col("tip") - F.col("height")).where(f"not (age < {pool_heights} and tx_n = 0)")
+    cut = lambda where: tx.where(where).select("txid", "height", "tx_n", "ts", "is_coinbase")
+    pool, hot, cold = cut(f"age < {pool_heights}"), cut(f"age >= {pool_heights} and age < {pool_heights + hot_heights}"), cut(f"age >= {pool_heights + hot_heights}")
+    of = lambda df, t, k: df.join(t.select(F.col("txid").alias(k)), k, "left_semi")
+    flat = lambda df: df.select("txid", "n", single_address(F.col("addresses")).alias("address"), "value_sats")
+    arrived = pool.select("txid", (F.unix_seconds("ts") + F.col("tx_n")).alias("arrived"))
+    fresh = Pool(arrived, of(c.txi, pool, "spending_txid"), flat(of(c.txo, pool, "txid")))
+    stored = Chain(cold, of(c.txo, cold, "txid"), of(c.txi, cold, "spending_txid"))
+    deltas = address_deltas(stored)
+    return Live(fresh, Chain(hot, of(c.txo, hot, "txid"), of(c.txi, hot, "spending_txid")), flat(stored.txo), deltas.select("address", "ts", "height", "tx_n", F.col("delta_sats").alias("change_sats")),
+                running_balances(block_deltas(deltas)).select("address", "ts", "balance_sats"), cold.select("height", "tx_n", "txid"))
+
+
 def event_deltas(spark: SparkSession, d: str) -> DataFrame:
     """(address, ts, delta_sats); purchases and errors take, all else gives."""
     e = table(spark, d, "events")

@@ -5,10 +5,7 @@ from tests.oracle import DATA, views
 def test_every_block_is_returned(spark, rows):
     """Blocks without predecessor or another field are there, the first block of a chain among them."""
     q = api.QUERIES
-    every, full = (rows(q[n](spark, DATA).select("hash")) for n in ("sink_k1_all_blocks", "sink_k1_blocks"))
+    every = rows(q["sink_k1_blocks"](spark, DATA).select("hash"))
     hashes = views().execute(f"SELECT DISTINCT {api._H('hash')} AS h FROM block WHERE h IS NOT NULL ORDER BY h").fetchall()
     assert every == hashes
-    assert set(full) < set(every)
-    chain = q["g33_all_chain_blocks"](spark, DATA)
-    assert chain.where("previousblockhash is null").count() > 0
-    assert set(rows(q["g33_chain_blocks"](spark, DATA))) == set(rows(chain.where("previousblockhash is not null")))
+    assert q["g33_chain_blocks"](spark, DATA).where("previousblockhash is null").count() > 0
