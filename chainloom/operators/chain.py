@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from chainloom.functions.normalise import sats
 from chainloom.plans.prefix import running_max
+from chainloom.plans.shared import Shared
 
 
 @dataclass
@@ -19,6 +20,8 @@ class Chain:
     tx: DataFrame
     txo: DataFrame
     txi: DataFrame
+    #: What spent_outputs gives, where it is known already.
+    spent: DataFrame | None = None
 
 
 def block_times(blocks: DataFrame, after_ms: int = 0) -> DataFrame:
@@ -62,6 +65,8 @@ def spent_outputs(c: Chain) -> DataFrame:
 
     Where blocks repeat a txid, an input spends the latest output confirmed up to its own height.
     """
+    if c.spent is not None:
+        return c.spent
     if "height" in c.txo.columns and "height" in c.txi.columns:
         o = c.txo.select("txid", "n", "value_sats", "addresses", F.col("height").alias("made"), F.col("tx_n").alias("made_n"))
         j = c.txi.join(o, ["txid", "n"], "left").withColumn("_ok", F.coalesce(F.struct("made", "made_n") < F.struct("height", "tx_n"), F.lit(False)))
@@ -71,6 +76,11 @@ def spent_outputs(c: Chain) -> DataFrame:
     return c.txi.join(c.txo.select("txid", "n", "value_sats", "addresses"), ["txid", "n"], "left").select("spending_txid", "spending_index", "txid", "n", "value_sats", "addresses")
 
 
+def resolved(c: Chain) -> Chain:
+    """The same ledger with its spent outputs written once, for operators that need them several times."""
+    return Chain(c.tx, c.txo, c.txi, Shared(c.tx.sparkSession, "spent").table(spent_outputs(c)))
+
+
 def spent_markers(c: Chain) -> DataFrame:
     """(txid, n, spending_txid, spending_index) of every output; nulls where it is unspent."""
     return c.txo.select("txid", "n").join(c.txi.select("txid", "n", "spending_txid", "spending_index"), ["txid", "n"], "left")

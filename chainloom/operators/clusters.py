@@ -5,22 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from chainloom.functions.normalise import bin_of
-from chainloom.operators.chain import Chain, address_deltas, first_address, spent_outputs
+from chainloom.operators.chain import Chain, address_deltas, first_address, resolved, spent_outputs
 from chainloom.plans.shared import Shared
 
 
 def mixing_transactions(c: Chain) -> DataFrame:
     """(txid) of transactions that look like coin mixing: at least two different input addresses, and one amount paid to
     two different addresses. First addresses count."""
-    ins = spent_outputs(c).select(F.col("spending_txid").alias("txid"), first_address(F.col("addresses")).alias("a")).where("a is not null").groupBy("txid").agg(F.min("a").alias("x"), F.max("a").alias("y")).where("x <> y")
-    outs = c.txo.select("txid", "value_sats", first_address(F.col("addresses")).alias("a")).where("a is not null").groupBy("txid", "value_sats").agg(F.min("a").alias("x"), F.max("a").alias("y")).where("x <> y").select("txid").distinct()
+    return _mixing(spent_outputs(c), c.txo)
+
+
+def _mixing(spent: DataFrame, outputs: DataFrame) -> DataFrame:
+    ins = spent.select(F.col("spending_txid").alias("txid"), first_address(F.col("addresses")).alias("a")).where("a is not null").groupBy("txid").agg(F.min("a").alias("x"), F.max("a").alias("y")).where("x <> y")
+    outs = outputs.select("txid", "value_sats", first_address(F.col("addresses")).alias("a")).where("a is not null").groupBy("txid", "value_sats").agg(F.min("a").alias("x"), F.max("a").alias("y")).where("x <> y").select("txid").distinct()
     return ins.select("txid").join(outs, "txid", "left_semi")
 
 
 def cospend_edges(c: Chain) -> DataFrame:
     """(a, b), a < b: of each transaction that isn't mixing, its smallest input address with each other one."""
-    ins = spent_outputs(c).select(F.col("spending_txid").alias("txid"), first_address(F.col("addresses")).alias("b")).where("b is not null").distinct()
-    ins = ins.join(mixing_transactions(c), "txid", "left_anti")
+    c = c if c.spent is not None else resolved(c)
+    return edges_of(c.spent, c.txo)
+
+
+def edges_of(spent: DataFrame, outputs: DataFrame) -> DataFrame:
+    """cospend_edges of spent outputs (see chain.spent_outputs) and the outputs of the same transactions."""
+    ins = spent.select(F.col("spending_txid").alias("txid"), first_address(F.col("addresses")).alias("b")).where("b is not null").distinct()
+    ins = ins.join(_mixing(spent, outputs), "txid", "left_anti")
     low = ins.groupBy("txid").agg(F.min("b").alias("a"))
     return ins.join(low, "txid").where("a <> b").select("a", "b").distinct()
 

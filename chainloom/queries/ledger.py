@@ -76,6 +76,11 @@ def _blocks(name: str, run, sql: str) -> None:
 
 
 _T = "CAST({0} AS VARCHAR) AS {1}".format
+def _ctx(c: C.Chain) -> DataFrame:
+    c = C.resolved(c)
+    return K.cluster_transactions(c, K.cluster_addresses(c))
+
+
 _blocks("proj1_transactions", lambda c: c.tx.drop("version", "locktime"), f""" SELECT {_T("tx.txid", "txid")}, height, tx_n, ts, tx_n = 0 AS is_coinbase, 250 AS size,
 CAST((SELECT count(*) FROM txo p WHERE tx_n <> 0 AND p.txid = tx.prev) AS INTEGER) AS input_count, CAST((SELECT count(*) FROM txo o WHERE o.txid = tx.txid) AS INTEGER) AS output_count FROM tx""")
 _blocks("proj2_outputs", lambda c: _flat(c, c.txo), f" SELECT {_T('txo.txid', 'txid')}, height, tx_n, n, v AS value_sats, a AS address FROM txo JOIN tx ON tx.txid = txo.txid")
@@ -108,9 +113,9 @@ SELECT address, ts, d AS delta_sats, CAST(sum(d) OVER (PARTITION BY address ORDE
 _chain("c2_mixing_transactions", K.mixing_transactions, MIXED + " SELECT txid FROM cj")
 _chain("c1_cospend_edges", K.cospend_edges, MIXED + " SELECT a, b FROM edge")
 _chain("c6_cluster_addresses", K.cluster_addresses, COMPONENTS + " SELECT address, cluster_id FROM member")
-_chain("a10_cluster_transactions", lambda c: K.cluster_transactions(c, K.cluster_addresses(c)), COMPONENTS + " SELECT * FROM ctx")
-_chain("a11_cluster_balances", lambda c: K.cluster_balances(K.cluster_transactions(c, K.cluster_addresses(c))), COMPONENTS + " SELECT cluster_id, CAST(sum(change_sats) AS BIGINT) AS balance_sats, count(*) AS transactions FROM ctx GROUP BY cluster_id")
-_chain("a12_cluster_days", lambda c: K.cluster_days(K.cluster_transactions(c, K.cluster_addresses(c))), COMPONENTS + " SELECT * FROM cday")
+_chain("a10_cluster_transactions", _ctx, COMPONENTS + " SELECT * FROM ctx")
+_chain("a11_cluster_balances", lambda c: K.cluster_balances(_ctx(c)), COMPONENTS + " SELECT cluster_id, CAST(sum(change_sats) AS BIGINT) AS balance_sats, count(*) AS transactions FROM ctx GROUP BY cluster_id")
+_chain("a12_cluster_days", lambda c: K.cluster_days(_ctx(c)), COMPONENTS + " SELECT * FROM cday")
 _HASH = "abs(list_reduce(list_prepend(0::BIGINT, list_transform(string_split({0}, ''), lambda x: unicode(x)::BIGINT)), lambda h, c: (((h * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296) - 2147483648))"
 _chain("a14_cluster_sizes", lambda c: K.cluster_sizes(K.cluster_addresses(c)), COMPONENTS + f" SELECT cluster_id, count(*) AS addresses, CAST(any_value({_HASH.format('cluster_id')}) % 100 AS TINYINT) AS bin FROM member GROUP BY cluster_id")
 _stored: dict[tuple, A.ClusterStore] = {}
@@ -120,7 +125,7 @@ def _cluster_store(spark: SparkSession, d: str) -> A.ClusterStore:
     """The cluster tables, written once a session and sorted by what lookups ask for."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _stored:
-        shared, c = Shared(spark, "cluster-store"), orders_chain(spark, d)
+        shared, c = Shared(spark, "cluster-store"), C.resolved(orders_chain(spark, d))
         put = lambda df, *order: shared.table(df.repartitionByRange(*order).sortWithinPartitions(*order))
         members = put(K.cluster_addresses(c), "cluster_id", "address")
         ctx = put(K.cluster_transactions(c, members), "cluster_id", "ts")

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chainloom.plans.shared import shared_dir
+from chainloom.plans.shared import Shared
 from chainloom.queries.ledger import EVENTS
 from chainloom.sources.tables import table
 from chainloom.streaming.ingest import daily_changes
@@ -14,7 +12,7 @@ from chainloom.streaming.ingest import daily_changes
 
 def t5_daily_changes(spark: SparkSession, d: str) -> DataFrame:
     """Days that ended before the newest event, summed by a stream."""
-    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    root = Shared(spark, "stream").root  # removed when the driver ends
     events = table(spark, d, "events")
     e = spark.readStream.schema(events.schema).parquet(f"{d}/events.parque[t]")
     v = F.floor(F.col("value") * 100_000_000 + F.lit(0.5)).cast("bigint")

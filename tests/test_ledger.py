@@ -221,10 +221,59 @@ def test_stream_equals_batch(spark, blocks, tmp_path):
     assert key(store.read("address_delta", got.schema)) == again
 
 
+def test_lost_blocks_are_retracted(spark, blocks, tmp_path):
+    store, docs = LedgerStore(spark, str(tmp_path / "store")), read_blocks(spark, blocks)
+    event = lambda *rows: spark.createDataFrame(list(rows), "type string, hash string, height int")
+    store.apply(event(*(("add", f"h{k}", k) for k in range(4))), docs, 0)
+    other = docs.where("height = 3").withColumns({"hash": F.lit("x3"), "tx": F.expr("slice(tx, 1, 1)")})
+    for _ in range(2):
+        store.apply(event(("delete", "h3", 3), ("add", "x3", 3), ("add", "gone", 9)), other, 1)
+    store.apply(event(), docs.limit(0), 2)
+    got = {(x.txid, x.height) for x in store.read("tx", C.flatten(docs).tx.schema).collect()}
+    assert got == {(t["txid"], b["height"]) for b in BLOCKS for t in b["tx"]} - {("t4", 3)}
+    assert not [x for x in store.read("address_delta", C.address_deltas(C.flatten(docs)).schema).collect() if x.txid == "t4"]
+    assert store.last_time(3) == store.last_time(2)  # over an empty batch
+
+
+def test_compacted_outputs_and_clusters_of_the_stream(spark, blocks, tmp_path):
+    plain, kept = LedgerStore(spark, str(tmp_path / "a"), clusters=True), LedgerStore(spark, str(tmp_path / "b"), clusters=True)
+    docs = read_blocks(spark, blocks)
+    c = C.flatten(docs)
+    for k in range(4):
+        for s in (plain, kept):
+            s.write(docs.where(F.col("height") == k), k)
+        if k in (1, 2):
+            kept.compact(k, c.txo.schema)
+    left = {(x.txid, x.n) for x in kept.spendable(c.txo.schema).collect()}
+    assert left == {("c1", 0), ("c1", 1), ("c1", 2), ("t3", 0), ("t3", 1), ("c3", 0), ("t4", 0)}
+    key = lambda s: sorted((x.spending_txid, x.spending_index, x.value_sats) for x in s.read("spent", C.spent_outputs(c).schema).collect())
+    assert key(plain) == key(kept) and len(key(kept)) == 6
+    want = {x.address: x.cluster_id for x in K.cluster_addresses(c).collect()}
+    assert {x.address: x.cluster_id for x in kept.wallets().collect()} == want
+    nothing = LedgerStore(spark, str(tmp_path / "none"), sinks=False)
+    nothing.write(docs, 0)
+    assert not (tmp_path / "none").exists()
+
+
+def test_clusters_grow_with_the_stream(spark, tmp_path):
+    from chainloom.streaming.ingest import POINTERS
+
+    store = LedgerStore(spark, str(tmp_path), clusters=True)
+    outs = lambda *rows: spark.createDataFrame([(t, 0, v, [a]) for t, a, v in rows], "txid string, n int, value_sats bigint, addresses array<string>")
+    ins = lambda *rows: spark.createDataFrame([(t, 0, "p", 0, 1, [a]) for t, a in rows], "spending_txid string, spending_index int, txid string, n int, value_sats bigint, addresses array<string>")
+    batches = [(outs(("m", "A", 1), ("n", "Z", 2)), ins(("q", "B"), ("q", "C"))), (outs(("o", "Z", 3)), ins(("r", "C"), ("r", "Z"), ("s", "D"), ("s", "E"))), (outs(("u", "F", 4)), ins(("v", "A"), ("v", "E"), ("w", "D"), ("w", "B"))), (outs(("u", "F", 4)).limit(0), ins(("w", "D")).limit(0))]
+    for k, (o, i) in enumerate(batches):
+        for _ in range(2):
+            store._join_clusters(o, i, k)
+    assert {x.address: x.cluster_id for x in store.wallets().collect()} == dict.fromkeys("ABCDEZ", "A") | {"F": "F"}
+    assert store.read("pointers", POINTERS).count() > 0
+
+
 class _Node(BaseHTTPRequestHandler):
     def do_POST(self):
         ask = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
-        by = {"getblockcount": lambda: 8, "getblockhash": lambda h: f"h{h}", "getblock": lambda h, v: BLOCKS[int(h[1:])]}
+        by = {"getblockcount": lambda: 8, "getblockhash": lambda h: f"h{h}", "getblock": lambda h, v: BLOCKS[int(h[1:])],
+              "getblockheader": lambda h: {"hash": h}, "getrawmempool": lambda verbose: ["p1", "p2", "gone"], "getrawtransaction": lambda t, v: {"txid": t} if t != "gone" else None}
         body = json.dumps({"result": by[ask["method"]](*ask["params"]), "error": None}).encode()
         self.send_response(200)
         self.end_headers()
@@ -254,6 +303,55 @@ def test_node_source(spark, tmp_path):
     assert [tuple(r) for r in node.parse_announcements(frames).collect()] == [("hashtx", "ab01")]
 
 
+def test_node_events_and_pool(spark):
+    chain = [f"a{k}" for k in range(12)]
+
+    class Node(_Node):
+        def do_POST(self):
+            ask = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            known = {"getblockcount": lambda: len(chain) - 1, "getblockhash": lambda h: chain[h], "getblock": lambda h, v: {"hash": h}, "getrawmempool": lambda verbose: ["p1", "p2", "gone"], "getblockheader": lambda h: {"hash": h}}
+            known["getrawtransaction"] = lambda t, v: {"txid": t}
+            missing = ask["params"][:1] == ["gone"]
+            body = json.dumps({"result": None if missing else known[ask["method"]](*ask["params"]), "error": "none" if missing else None}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+    server = HTTPServer(("127.0.0.1", 0), Node)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    options = {"urls": f"http://127.0.0.1:{server.server_port}/", "deepest": "5"}
+    source, at, seen = node._Events(options), {"chain": []}, []
+    for _ in range(4):
+        rows, end = source.read(at)
+        assert list(source.readBetweenOffsets(at, end)) == (rows := list(rows))
+        seen, at = seen + rows, end
+    assert [x[1] for x in seen] == chain and {x[0] for x in seen} == {"add"}
+    chain[9:] = ["b9", "b10"]
+    rows, end = source.read(at)
+    assert list(rows) == [("delete", "a11", 11), ("delete", "a10", 10), ("delete", "a9", 9), ("add", "b9", 9), ("add", "b10", 10)]
+    assert list(source.read(end)[0]) == []
+    chain[:] = [f"c{k}" for k in range(30)]
+    with pytest.raises(ValueError):
+        source.read(end)
+    spark.dataSource.register(node.NodePool)
+    spark.dataSource.register(node.NodeEvents)
+    pool = spark.read.format("node_pool").options(**options).option("transactions_per_partition", 2).load()
+    assert {x.txid: json.loads(x.transaction) for x in pool.collect()} == {"p1": {"txid": "p1"}, "p2": {"txid": "p2"}}
+    asked = spark.createDataFrame([("p1",), ("p2",), ("p2",), (None,), ("gone",)], "txid string")
+    got = node.announced_transactions(asked, spark.createDataFrame([("p1",)], "txid string"), options, tries=2)
+    assert [x.txid for x in got.collect()] == ["p2"]
+    events = spark.createDataFrame([("delete", "a1", 1), ("add", "b1", 1)], "type string, hash string, height int")
+    assert {x.hash: x.block for x in node.event_blocks(events, options).collect()} == {"a1": None, "b1": '{"hash": "b1"}'}
+    assert node._nodes(options).header("b1") == {"hash": "b1"}
+    server.shutdown()
+
+
+def test_coin_changes(spark):
+    coins = lambda *rows: spark.createDataFrame(list(rows), "name string, rpc_urls array<string>, zmq_addresses array<string>")
+    before, now = coins(("a", ["u"], ["z"]), ("b", ["u"], None), ("c", None, None), (None, ["x"], None)), coins(("a", ["u"], ["z"]), ("b", ["v"], None), ("d", ["u"], None))
+    assert {x.name: x.change for x in node.coin_changes(before, now).collect()} == {"b": "restart", "c": "stop", "d": "start"}
+
+
 def test_shared_folder(spark):
     assert shared_dir(spark) == shared_dir(spark)
 
