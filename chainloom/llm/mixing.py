@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from chainloom.functions.normalise import norm_word
 from chainloom.llm.words import spread
@@ -18,8 +18,12 @@ from chainloom.plans.shared import Shared
 #: The vocabulary whose tokens are counted, as ranks of byte sequences, and its fixed pattern of pieces.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The most sources that a mix may name, and the parts into which a source's order and the merged order are cut.
-MOST_SOURCES, PARTS = 10_000, 1024
+#: The most sources that a mix may name: their totals and targets are held by the driver.
+MOST_SOURCES = 1_000_000
+#: Rows of one part of an order; a source's order and the merged one are cut into parts of about so many rows.
+ROWS_A_PART = 20_000
+#: The largest vocabulary in bytes that is sent to the workers.
+MOST_BYTES = 1 << 26
 
 
 @dataclass
@@ -38,10 +42,9 @@ def read_targets(mix: DataFrame) -> dict[str, Target]:
     return {r.source: Target(r.weight, r.repeats) for r in rows}
 
 
-def _counter(vocabulary: str):
+def _counter(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, held.value.splitlines())}
         coder = tiktoken.Encoding("sizes", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
         for b in batches:
             n = [len(coder.encode_ordinary(t.as_py())) for t in b.column(2)]
@@ -51,10 +54,19 @@ def _counter(vocabulary: str):
 
 
 def token_sizes(documents: DataFrame, sources: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, source, tokens) of the documents of the named sources that have a text of at least one token."""
+    """(doc_id, source, tokens) of the documents of the named sources that have a text of at least one token.
+
+    The driver reads the vocabulary and broadcasts it, so that the workers need no file; it is at most MOST_BYTES large.
+    """
+    spark = documents.sparkSession
+    with open(vocabulary, "rb") as f:
+        ranks = f.read(MOST_BYTES + 1)
+    if len(ranks) > MOST_BYTES:
+        raise ValueError(f"the vocabulary has more than {MOST_BYTES} bytes")
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), norm_word(F.col("source")).alias("source"), F.col("text").cast("string").alias("text"))
-    docs = docs.where(F.col("source").isin(sources) & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    return spread(docs).mapInArrow(_counter(vocabulary), "doc_id bigint, source string, tokens bigint").where("tokens > 0")
+    named = spark.createDataFrame([(s,) for s in sources], "source string")
+    docs = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).join(named, "source", "left_semi").select("doc_id", "source", "text")
+    return spread(docs).mapInArrow(_counter(spark.sparkContext.broadcast(ranks)), "doc_id bigint, source string, tokens bigint").where("tokens > 0")
 
 
 def horizon(sizes: dict[str, int], targets: dict[str, Target], budget: int | None) -> tuple[dict[str, float], int, float]:
@@ -78,10 +90,6 @@ def horizon(sizes: dict[str, int], targets: dict[str, Target], budget: int | Non
     return share, budget, ends[-1][0]
 
 
-def _by_source(values: dict) -> Column:
-    return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))[F.col("source")]
-
-
 def _ahead(rows: DataFrame, group: list[str], part: str, order: list[str]) -> DataFrame:
     """Adds `ahead`: the tokens of the rows before each row in its group's order, of which `part` is the coarse one.
 
@@ -101,26 +109,32 @@ def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, see
     queue again for each further copy up to max_repeats; a document's virtual finish time is the tokens of its source up
     to its end, divided by the source's share. All queues are merged by finish time, range-sorted and cut where the total
     would exceed the budget (see horizon; whole takes as budget the tokens of all sources that the targets name). The weights of sources without any token are left to the others. No row is
-    gathered on the driver but the totals of the sources; a source with most of the rows is summed in PARTS pieces.
+    gathered on the driver but the totals of the sources; a source with most of the rows is summed in parts of ROWS_A_PART.
     """
     want = read_targets(targets)
     shared = Shared(documents.sparkSession, "mix")
-    key = F.xxhash64(F.lit(seed), "doc_id")
-    sizes = token_sizes(documents, list(want), vocabulary).withColumn("key", key).withColumn("part", F.pmod("key", F.lit(PARTS)))
-    sizes = shared.table(sizes)
-    totals = {r.source: r.n for r in sizes.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
+    sizes, c = shared.write(token_sizes(documents, list(want), vocabulary).withColumn("key", F.xxhash64(F.lit(seed), "doc_id")))
+    sums = sizes.groupBy("source").agg(F.sum("tokens").alias("n"), F.max("tokens").alias("longest")).collect()
+    totals = {r.source: r.n for r in sums}
     share, budget, end = horizon(totals, want, sum(n or 0 for n in totals.values()) if whole else budget)
     if not share:
         return sizes.select("doc_id", "source", F.lit(0).alias("copy"), "tokens", F.lit(0.0).alias("finish"), F.lit(0).cast("bigint").alias("upto")).limit(0)
-    queue = _ahead(sizes, ["source"], "part", ["key", "doc_id"])
-    queue = queue.withColumn("whole", _by_source(totals)).withColumn("p", _by_source(share)).withColumn("most", _by_source({s: want[s].repeats for s in share}))
-    # Copy c of a document ends at c whole queues and its own end; those that end after the horizon aren't made.
+    # The documents under way at the horizon may end after it; the budget decides which of them are taken.
+    end += max(r.longest / share[r.source] for r in sums if r.source in share)
+    parts = 1 + c["rows"] // ROWS_A_PART
+    # By the bits of the hash, so that parts follow each other as their keys do.
+    part = F.floor((F.col("key").cast("double") + 2.0**63) / 2.0**64 * parts)
+    queue = _ahead(sizes.withColumn("part", part), ["source"], "part", ["key", "doc_id"])
+    per_source = sizes.sparkSession.createDataFrame([(s, totals[s], p, want[s].repeats) for s, p in share.items()], "source string, whole bigint, p double, most int")
+    queue = queue.join(per_source, "source")
+    # Copy c of a document ends at c whole queues and its own end; those that end too late to be taken aren't made.
     span = F.floor((F.lit(end * (1 + 1e-9)) * F.col("p") - F.col("ahead") - F.col("tokens")) / F.col("whole")).cast("int")
     queue = queue.withColumn("last", F.least(span, F.col("most") - 1)).where("last >= 0")
     queue = queue.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("last"))))
     queue = queue.withColumn("finish", (F.col("copy") * F.col("whole") + F.col("ahead") + F.col("tokens")) / F.col("p"))
-    merged = queue.select("doc_id", "source", "copy", "tokens", "finish", F.least(F.floor(F.col("finish") * (PARTS / end)), F.lit(PARTS)).alias("slice"), F.lit(0).alias("all"))
-    merged = _ahead(shared.table(merged), ["all"], "slice", ["finish", "source", "doc_id", "copy"])
+    merged, c = shared.write(queue.select("doc_id", "source", "copy", "tokens", "finish", F.lit(0).alias("all")))
+    slices = 1 + c["rows"] // ROWS_A_PART
+    merged = _ahead(merged.withColumn("slice", F.least(F.floor(F.col("finish") * (slices / end)), F.lit(slices))), ["all"], "slice", ["finish", "source", "doc_id", "copy"])
     merged = merged.withColumn("upto", F.col("ahead") + F.col("tokens")).where(F.col("upto") <= budget)
     return merged.select("doc_id", "source", "copy", "tokens", "finish", "upto").orderBy("finish", "source", "doc_id", "copy")
 

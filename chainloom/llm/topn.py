@@ -15,11 +15,12 @@ def top_n(items: DataFrame, group: Column, score: Column, item: Column, n: int =
     Rows with null group or item, or null, NaN or infinite score don't count; an item counts once per group with its
     highest score. A group with fewer items gives them all; an empty input gives no row. The items of a group are hashed
     into subgroups; each subgroup keeps its n best, and the at most n * subgroups survivors of a group are ranked again.
-    The rank limit is applied before each exchange as well, so only survivors travel after the first aggregation.
+    One exchange by (group, subgroup) serves the repeated items and the first ranking; only survivors travel after it.
     """
     rows = items.select(group.alias("grp"), item.alias("item"), score.cast("double").alias("score"))
     rows = rows.where(F.col("grp").isNotNull() & F.col("item").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf")))
-    best = rows.groupBy("grp", "item").agg(F.max("score").alias("score")).withColumn("sub", F.pmod(F.xxhash64("item"), F.lit(subgroups)))
+    rows = rows.withColumn("sub", F.pmod(F.xxhash64("item"), F.lit(subgroups))).repartition("grp", "sub")
+    best = rows.groupBy("grp", "sub", "item").agg(F.max("score").alias("score"))
     order = [F.col("score").desc(), F.col("item").asc()]
     rank = lambda df, *keys: df.withColumn("rnk", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rnk") <= n)
     return rank(rank(best, "grp", "sub").drop("rnk"), "grp").select("grp", F.col("rnk").cast("bigint").alias("rnk"), "item", "score")
