@@ -19,7 +19,7 @@ from chainloom.plans.shared import Shared
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The most sources that a mix may name: their totals and targets are held by the driver.
-MOST_SOURCES = 1_000_000
+MOST_SOURCES = 100_000
 #: Rows of one part of an order; a source's order and the merged one are cut into parts of about so many rows.
 ROWS_A_PART = 20_000
 #: The largest vocabulary in bytes that is sent to the workers.
@@ -64,7 +64,7 @@ def token_sizes(documents: DataFrame, sources: list[str], vocabulary: str = VOCA
     if len(ranks) > MOST_BYTES:
         raise ValueError(f"the vocabulary has more than {MOST_BYTES} bytes")
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), norm_word(F.col("source")).alias("source"), F.col("text").cast("string").alias("text"))
-    named = spark.createDataFrame([(s,) for s in sources], "source string")
+    named = F.broadcast(spark.createDataFrame([(s,) for s in sources], "source string"))  # at most MOST_SOURCES rows
     docs = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).join(named, "source", "left_semi").select("doc_id", "source", "text")
     return spread(docs).mapInArrow(_counter(spark.sparkContext.broadcast(ranks)), "doc_id bigint, source string, tokens bigint").where("tokens > 0")
 
@@ -126,7 +126,7 @@ def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, see
     part = F.floor((F.col("key").cast("double") + 2.0**63) / 2.0**64 * parts)
     queue = _ahead(sizes.withColumn("part", part), ["source"], "part", ["key", "doc_id"])
     per_source = sizes.sparkSession.createDataFrame([(s, totals[s], p, want[s].repeats) for s, p in share.items()], "source string, whole bigint, p double, most int")
-    queue = queue.join(per_source, "source")
+    queue = queue.join(F.broadcast(per_source), "source")  # at most MOST_SOURCES rows
     # Copy c of a document ends at c whole queues and its own end; those that end too late to be taken aren't made.
     span = F.floor((F.lit(end * (1 + 1e-9)) * F.col("p") - F.col("ahead") - F.col("tokens")) / F.col("whole")).cast("int")
     queue = queue.withColumn("last", F.least(span, F.col("most") - 1)).where("last >= 0")
