@@ -159,14 +159,15 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def alike(e: Encoded, f: np.ndarray, hits: np.ndarray, w: Windows, x: Index, least: float) -> tuple[np.ndarray, ...]:
     """(text, position, item window, similarity) of the windows of some texts that are like a window of an item.
 
-    A window without a single shingle of any item has similarity 0 to all of them and gets no fingerprint.
+    A window of whose shingles no item has half can't be like any (for that it needs 2 * least / (1 + least) of them, if least
+    is a third or more) and gets no fingerprint.
     """
     n = w.size - SHINGLE + 1
     none = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.float64))
     if len(f) < w.size:
         return none
-    any_ = hits[n:] > hits[:-n]
-    pos = np.flatnonzero(any_)
+    least_hits = max(1, n // 2 if least >= 1 / 3 else 1)
+    pos = np.flatnonzero(hits[n:] - hits[:-n] >= least_hits)
     doc = np.searchsorted(e.offsets, pos, side="right") - 1
     inside = pos + w.size <= e.offsets[doc + 1]
     pos, doc = pos[inside], doc[inside]
@@ -240,7 +241,7 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, least: f
     question), one row for each size of windows.
 
     The windows of the items have `window` words and two, four, ... times as many, up to the size of the item. Every window
-    of every document that shares a shingle of five words with any item gets a SimHash of its shingles. Multi-index blocks
+    of every document that has half its shingles of five words in common with the items gets a SimHash. Multi-index blocks
     give all pairs of fingerprints within the radius that the size calls for, and those of a weighted shingle similarity of
     at least `least` are kept. Equal windows have equal fingerprints, so every shared run of `window` words is found;
     windows that are only alike are found as far as their fingerprints are within the radius, which more than 0.9 are.
