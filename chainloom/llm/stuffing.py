@@ -78,7 +78,7 @@ class Page:
         if not text.isascii():
             text = INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
         self.text = text = text.lower()
-        self.found = [m for m in TOKEN.finditer(text) if m.lastindex != MARKUP]
+        self.found = [m for m in TOKEN.finditer(text) if m.lastindex != MARKUP] if "<" in text else list(TOKEN.finditer(text))
         self.lines = [m.end() for m in LINE.finditer(text)]
         self.records, end, starts = [], 0, None
         for m in RECORD.finditer(text):
@@ -132,8 +132,7 @@ def stuffed_shares(pages: list[Page], stated: list[str | None], learned: dict[st
 
     coded = pa.array(list(map(re.Match.group, found)), pa.string()).dictionary_encode()
     code, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-    kinds = np.array([m.lastindex or WORD for m in found])
-    kinds[np.array([w[0].isdigit() for w in words])[code] & (kinds == WORD)] = NUMBER
+    kinds = np.array([_kind(w) for w in words], np.int64)[code]
     for i in np.flatnonzero(np.array([w in TAG_WORDS for w in words])[code]).tolist():
         if found[i].string[found[i].end() : found[i].end() + 1] in (":", "="):
             kinds[i] = TAG
@@ -227,6 +226,14 @@ def _language(hits: list[float], words: int, stated: str | None) -> str:
     return stated if stated in by else ""
 
 
+def _kind(token: str) -> int:
+    if token[0] == "#":
+        return HASH_TAG
+    if token[0] in "<[" or token.startswith(("http://", "https://")):
+        return LINK
+    return DOMAIN if "/" in token else NUMBER if token[0].isdigit() else WORD
+
+
 def _tag_values(found: list[re.Match], tags: np.ndarray, doc: np.ndarray) -> list[int]:
     """The tokens that belong to a tag: up to VALUE of them before the next separator or line end, in texts of at least
     TAGS tags. They say nothing about sentences ("keyword: how to earn")."""
