@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from chainloom.functions.normalise import bin_of
-from chainloom.operators.chain import Chain, address_deltas, first_address, resolved, spent_outputs
+from chainloom.operators.chain import Chain, address_deltas, first_address, spent_outputs
 from chainloom.plans.shared import Shared
 
 
@@ -23,8 +23,7 @@ def _mixing(spent: DataFrame, outputs: DataFrame) -> DataFrame:
 
 def cospend_edges(c: Chain) -> DataFrame:
     """(a, b), a < b: of each transaction that isn't mixing, its smallest input address with each other one."""
-    c = c if c.spent is not None else resolved(c)
-    return edges_of(c.spent, c.txo)
+    return edges_of(spent_outputs(c), c.txo)
 
 
 def edges_of(spent: DataFrame, outputs: DataFrame) -> DataFrame:

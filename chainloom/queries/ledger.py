@@ -173,12 +173,26 @@ asked AS (SELECT address FROM pdel GROUP BY address ORDER BY count(*) DESC, addr
 warm AS (SELECT address FROM conf WHERE age < 13 GROUP BY address ORDER BY (SELECT count(*) FROM conf c WHERE c.address = conf.address) DESC, address LIMIT 1)"""
 
 
+_lives: dict[tuple, L.Live] = {}
+
+
+def _live_store(spark: SparkSession, d: str) -> L.Live:
+    """The pool, the newest blocks and the stored tables, written once a session and sorted by what lookups ask for."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _lives:
+        shared, v = Shared(spark, "live-store"), order_live(spark, d)
+        put = lambda df, *order: shared.table(df.repartitionByRange(*order).sortWithinPartitions(*order))
+        pool, hot = L.Pool(*map(shared.table, (v.pool.tx, v.pool.inputs, v.pool.outputs))), C.Chain(*map(shared.table, (v.hot.tx, v.hot.txo, v.hot.txi)))
+        _lives[key] = L.Live(pool, hot, put(v.outputs, "txid", "n"), put(v.address_transaction, "address", "ts"), put(v.address_balance, "address", "ts"), put(v.confirmed, "height", "tx_n"))
+    return _lives[key]
+
+
 def _live(name: str, run, sql: str) -> None:
-    _add(name, lambda spark, d: _texts(run(order_live(spark, d))), "WITH RECURSIVE" + FIXTURE + LIVE + sql)
+    _add(name, lambda spark, d: _texts(run(_live_store(spark, d))), "WITH RECURSIVE" + FIXTURE + LIVE + sql)
 
 
 def _live_page(name: str, run, *page: object) -> None:
-    _add(name, lambda spark, d: run(order_live(spark, d)), _page_sql("WITH RECURSIVE" + FIXTURE + LIVE, *page))
+    _add(name, lambda spark, d: run(_live_store(spark, d)), _page_sql("WITH RECURSIVE" + FIXTURE + LIVE, *page))
 
 
 def _asked(v: L.Live) -> str:
