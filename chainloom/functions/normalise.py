@@ -20,7 +20,8 @@ def clean(c: Column) -> Column:
 
 def norm_hash(c: Column) -> Column:
     """The one form of a block hash or txid: trimmed, without a leading 0x, in lower case."""
-    x = F.lower(F.regexp_replace(F.btrim(c.cast("string"), F.lit(BLANKS)), "^0[xX]", ""))
+    x = F.lower(F.btrim(c.cast("string"), F.lit(BLANKS)))
+    x = F.when(F.startswith(x, F.lit("0x")), F.substring(x, 3, 1 << 30)).otherwise(x)
     return F.when(x != "", x)
 
 

@@ -34,7 +34,8 @@ def missing(refs: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
 def short_key(c: Column) -> Column:
     """A hash in half its size: a mark and the bytes that the digits stand for, or a mark and the text of any other key."""
     h = norm_hash(c)
-    return F.when(h.rlike("^([0-9a-f]{2})+$"), F.concat(F.lit(b"\0"), F.unhex(h))).otherwise(F.concat(F.lit(b"\1"), F.encode(h, "UTF-8")))
+    whole = (F.length(h) % 2 == 0) & F.unhex(h).isNotNull()
+    return F.when(whole, F.concat(F.lit(b"\0"), F.unhex(h))).otherwise(F.concat(F.lit(b"\1"), F.encode(h, "UTF-8")))
 
 
 def key_text(c: Column) -> Column:
@@ -96,26 +97,35 @@ class Records:
 
 
 def encode(shared: Shared, inputs: DataFrame, outputs: DataFrame, transactions: DataFrame | None = None) -> Records:
-    """Every txid gets a number once, so that all later joins move numbers. Each distinct record is kept once."""
+    """Every txid gets a number once, so that all later joins move numbers. Each distinct record is kept once.
+
+    Without transactions only what inputs refer to is needed: outputs that no input's txid names are left out, and by what
+    the others are marked as spent.
+    """
     named = (F.col("coinbase").isNull()) & F.col("txid").isNotNull()
     i = inputs.select(short_key(F.col("spending_txid")).alias("s"), F.col("spending_index").cast("bigint").alias("spending_index"), F.when(named, short_key(F.col("txid"))).alias("t"), F.when(named, F.col("vout").cast("bigint")).alias("n"))
     o = outputs.select(short_key(F.col("txid")).alias("t"), F.col("n").cast("bigint").alias("n"), short_key(F.col("spending_txid")).alias("s"), F.col("spending_index").cast("bigint").alias("spending_index"))
-    keys = [df.select(F.explode(F.array("s", "t")).alias("key")) for df in (i, o)]
-    c = None if transactions is None else transactions.select(short_key(F.col("txid")).alias("t"), F.col("height").cast("bigint").alias("height"))
-    if c is not None:
-        keys.append(c.select(F.col("t").alias("key")))
-    names = shared.table(reduce(DataFrame.unionByName, keys).where("key is not null").distinct().select(F.monotonically_increasing_id().alias("id"), "key"))
+    both = lambda df: df.select(F.explode(F.array("s", "t")).alias("key"))
+    keys = both(i.where("t is not null"))
+    if transactions is not None:
+        c = transactions.select(short_key(F.col("txid")).alias("t"), F.col("height").cast("bigint").alias("height"))
+        keys = both(i).unionByName(both(o)).unionByName(c.select(F.col("t").alias("key")))
+    names = shared.table(keys.where("key is not null").distinct().select(F.monotonically_increasing_id().alias("id"), "key"))
+    of = lambda key, to: names.select(F.col("id").alias(to), F.col("key").alias(key))
 
     def numbered(df: DataFrame, key: str, to: str) -> DataFrame:
         """A null key gets a value of its own, matching nothing, so that all null keys don't meet in one task."""
         rest = [x for x in df.columns if x != key]
         own = F.coalesce(key, F.concat(F.lit(b"\2"), F.xxhash64(*rest).cast("string").cast("binary")))
-        return df.withColumn(key, own).join(names.select(F.col("id").alias(to), F.col("key").alias(key)), key, "left").drop(key)
+        return df.withColumn(key, own).join(of(key, to), key, "left").drop(key)
 
+    if transactions is None:
+        i = numbered(i.where("t is not null"), "s", "sid").join(of("t", "tid"), "t").select("sid", "spending_index", F.lit(True).alias("ref"), "tid", "n")
+        return Records(names, shared.table(i.distinct()), shared.table(o.select("t", "n").join(of("t", "tid"), "t").select("tid", "n").distinct()), None)
     i = numbered(numbered(i, "s", "sid"), "t", "tid").select("sid", "spending_index", F.col("tid").isNotNull().alias("ref"), "tid", "n")
     o = numbered(numbered(o, "t", "tid"), "s", "sid").select("tid", "n", "sid", "spending_index")
-    c = None if c is None else shared.table(numbered(c, "t", "id").where("id is not null").select("id", "height").distinct())
-    return Records(names, shared.table(i.distinct()), shared.table(o.distinct()), c)
+    c = numbered(c, "t", "id").where("id is not null").select("id", "height").distinct()
+    return Records(names, shared.table(i.distinct()), shared.table(o.distinct()), shared.table(c))
 
 
 def orphans(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
