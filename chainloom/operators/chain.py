@@ -63,16 +63,24 @@ def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 def spent_outputs(c: Chain) -> DataFrame:
     """(spending_txid, spending_index, txid, n, value_sats, addresses) of every input; nulls where its output is unknown.
 
-    Where blocks repeat a txid, an input spends the latest output confirmed up to its own height.
+    Where blocks repeat a txid, an input spends the latest output confirmed before it. That is an as-of join by one sort of
+    both sides together inside (txid, n): a join on equal names would pair every input with every output of its name.
     """
     if c.spent is not None:
         return c.spent
     if "height" in c.txo.columns and "height" in c.txi.columns:
-        o = c.txo.select("txid", "n", "value_sats", "addresses", F.col("height").alias("made"), F.col("tx_n").alias("made_n"))
-        j = c.txi.join(o, ["txid", "n"], "left").withColumn("_ok", F.coalesce(F.struct("made", "made_n") < F.struct("height", "tx_n"), F.lit(False)))
         key = ["spending_txid", "height", "spending_index", "txid", "n"]
-        j = j.groupBy(*key).agg(F.max_by(F.struct("value_sats", "addresses"), F.when(F.col("_ok"), F.struct("made", "made_n"))).alias("o"))
-        return j.select("spending_txid", "spending_index", "txid", "n", "o.value_sats", "o.addresses", "height")
+        # A struct a column tells an output with a null from an input, and columns nobody asks for aren't shuffled.
+        made = c.txo.where("txid is not null and n is not null").select("txid", "n", "height", "tx_n", F.struct("value_sats").alias("_v"), F.struct("addresses").alias("_a"))
+        # Ordered by name where they are made, so that names that many blocks repeat take little room in the exchange.
+        both = c.txi.select(*key, "tx_n").unionByName(made, allowMissingColumns=True).sortWithinPartitions("txid", "n")
+        # An input (no _v) comes before the outputs of its own transaction; of outputs of one place the largest counts.
+        w = W.partitionBy("txid", "n").orderBy("height", "tx_n", "_v").rowsBetween(W.unboundedPreceding, 0)
+        j = both.withColumns({x: F.last(x, ignorenulls=True).over(w) for x in ("_v", "_a")} | {"_asks": F.col("_v").isNull()}).where("_asks")
+        # Inputs of one key are of one height; the one furthest back in the block sees the latest output.
+        latest_of = lambda x: F.max_by(x, F.coalesce("tx_n", F.lit(-1)))
+        j = j.groupBy(*key).agg(latest_of(F.col("_v.value_sats")).alias("value_sats"), latest_of(F.col("_a.addresses")).alias("addresses"))
+        return j.select("spending_txid", "spending_index", "txid", "n", "value_sats", "addresses", "height")
     return c.txi.join(c.txo.select("txid", "n", "value_sats", "addresses"), ["txid", "n"], "left").select("spending_txid", "spending_index", "txid", "n", "value_sats", "addresses")
 
 
